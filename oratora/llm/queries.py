@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import decontaminate, packing, pii, quality_rules, simhash
 from .common import table
 
 
@@ -18,11 +18,33 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = {k: F.col(f"__{k}") for k in pii.KINDS}
+    return found.select(
+        F.col("__id").alias("doc_id"),
+        *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base.items()],
+        F.sha2(pii.as_text(base), 256).alias("base_sha256"),
+        pii.as_text(base | {pii.TERM: F.col("__terms")}).alias("spans"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op8_quality_rules": op8_quality_rules}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), {"ids_crc32": F.crc32("ids")})
+
+
+def vocabulary() -> str:
+    """The rank file of the byte-level vocabulary; ``packing.encoder`` takes the ``.json`` of the same ids as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op7_pii, op8_quality_rules, op10_packing)}
 
 #: DuckDB SQL for the queries that SQL expresses; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
