@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality_rules, simhash
+from . import decontaminate, html_text, packing, pii, quality_rules, simhash, url_filter
 from .common import table
 
 
@@ -18,6 +18,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = {k: F.col(f"__{k}") for k in pii.KINDS}
@@ -44,7 +54,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op7_pii, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op5_html_text, op6_url_filter, op7_pii, op8_quality_rules, op10_packing)}
 
 #: DuckDB SQL for the queries that SQL expresses; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
