@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, pii, quality_rules, simhash, url_filter
+from . import chat, classifier, decontaminate, html_text, lm, packing, pii, quality_rules, simhash, url_filter
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -43,6 +51,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), {"ids_crc32": F.crc32("ids")})
 
@@ -54,7 +66,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op5_html_text, op6_url_filter, op7_pii, op8_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_chat, op4_quality, op5_html_text, op6_url_filter, op7_pii, op8_quality_rules, op9_lm_score, op10_packing)}
 
 #: DuckDB SQL for the queries that SQL expresses; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
