@@ -8,6 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import cut, send_by_value
 
@@ -19,7 +20,13 @@ NOT_WORD = re.compile(r"[\W_]+")
 #: Normalised passages shorter than this are too common to tell an original by.
 LEAST_CHARS = 12
 
-PARSED = "body string, quotes array<struct<level:int,hash:bigint>>, own array<bigint>"
+PARSED = StructType(
+    [
+        StructField("body", StringType()),
+        StructField("quotes", ArrayType(StructType([StructField("level", IntegerType()), StructField("hash", LongType())]))),
+        StructField("own", ArrayType(LongType())),
+    ]
+)
 
 
 def normalise(passage: str) -> str:
