@@ -75,7 +75,7 @@ def speech_features(df: DataFrame, lexicons: L.LexiconSet | None = None, cols: C
     per = lambda k: 100 * F.col(f"n_{k}") / F.greatest(F.col("n_tokens"), F.lit(1))
     out = out.withColumns({
         "sentiment": sentiment,
-        "gulpease_raw": F.coalesce(clamp(gulpease), F.lit(0.0)),
+        "gulpease_raw": F.when(F.col("g_words") == 0, F.lit(0.0)).otherwise(clamp(gulpease)),
         "polarization_raw": clamp(raw / F.greatest(F.col("n_tokens"), F.lit(1)) * 500),
         **{k: per(k) for k in x.rhetoric},
     })

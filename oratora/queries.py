@@ -74,7 +74,7 @@ F0 = (
     + "CAST(len(regexp_extract_all(cleaned_text, '[\\p{L}\\p{N}_]+')) AS BIGINT) AS g_words, CAST(length(regexp_replace(cleaned_text, '[^\\p{L}]', '', 'g')) AS BIGINT) AS g_letters FROM t0)"
 )
 F1 = """f1 AS (SELECT *, coalesce(CAST(n_pos - n_neg AS DOUBLE) / nullif(n_pos + n_neg, 0), 0.0e0) AS sentiment,
- coalesce(greatest(0.0e0, least(100.0e0, 89 + CAST(300 * n_sentences - 10 * g_letters AS DOUBLE) / nullif(g_words, 0))), 0.0e0) AS gulpease_raw,
+ CASE WHEN g_words = 0 THEN 0.0e0 ELSE greatest(0.0e0, least(100.0e0, 89 + CAST(300 * n_sentences - 10 * g_letters AS DOUBLE) / nullif(g_words, 0))) END AS gulpease_raw,
  greatest(0.0e0, least(100.0e0, CAST(n_pronouns + 2 * n_adversatives + 3 * n_patterns AS DOUBLE) / greatest(n_tokens, 1) * 500)) AS polarization_raw,
  CAST(100 * n_populist AS DOUBLE) / greatest(n_tokens, 1) AS populist, CAST(100 * n_anti_establishment AS DOUBLE) / greatest(n_tokens, 1) AS anti_establishment,
  CAST(100 * n_emotional AS DOUBLE) / greatest(n_tokens, 1) AS emotional, CAST(100 * n_institutional AS DOUBLE) / greatest(n_tokens, 1) AS institutional FROM f0)"""
