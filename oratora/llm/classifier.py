@@ -13,15 +13,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import cut, let, maybe_broadcast, send_by_value, words
-from .quality_rules import SYMBOLS, n_chars_of, word_chars
+from .common import cut, maybe_broadcast, send_by_value
+from .quality_rules import SYMBOLS
 
 send_by_value(__name__)
 
 FEATURES = 1 << 18
 #: Rows on which the linear scorer is fitted, about; everything else uses all rows.
 FIT_ROWS = 8_000
+#: Share of them drawn from the rows with given labels.
+LABELLED = 0.8
+#: Score from which a row goes; clean rows score far below.
+THRESHOLD = 0.3
 
 #: Insults in three lists, so that labellers overlap without being one rule. Fixed values.
 INSULTS = (
@@ -30,44 +35,40 @@ INSULTS = (
     ("pathetic", "disgusting", "loser", "losers", "clown", "clowns", "ugly", "freak"),
 )
 
-Votes = dict[str, Column]
-"""Labellers by name: 1 for the class, 0 against it, null to abstain."""
-
-
-def junk_labellers(text: Column) -> Votes:
-    """Overlapping signs of text that isn't prose."""
-    t = F.coalesce(text, F.lit(""))
-    w = words(t)
-    n = F.greatest(F.size(w), F.lit(1))
-    chars = F.greatest(word_chars(t), F.lit(1))
-    symbols = n_chars_of(t, SYMBOLS) / n
-    capitals = n_chars_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars
-    exclaim = n_chars_of(t, "!?|") / n
-    stops = n_chars_of(t, ".,;:") / n
-    follows = let(w, lambda x: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.get(x, i) == F.get(x, i - 1)))) / n
-    distinct = let(w, lambda x: F.size(F.array_distinct(F.slice(x, 1, 200))) / F.greatest(F.least(F.size(x), F.lit(200)), F.lit(1)))
-
-    def vote(yes: Column, no: Column) -> Column:
-        return F.when(yes, 1).when(no, 0)
-
-    return {
-        "symbols": vote(symbols > 0.25, symbols < 0.05),
-        "capitals": vote(capitals > 0.5, capitals < 0.15),
-        "marks": vote(exclaim > 0.25, exclaim < 0.05),
-        "echo": vote(follows > 0.3, follows < 0.1),
-        "variety": vote(distinct < 0.25, distinct > 0.4),
-        "no_stops": vote(stops < 0.02, stops > 0.04),
-        "short": F.when(n < 5, 1),
-    }
-
-
-def toxic_labellers(text: Column) -> Votes:
+Votes = tuple[int | None, ...]
+"""One entry a labeller: 1 for the class, 0 against it, None to abstain."""
+
+NOT_CAPITAL = re.compile(r"[^A-Z]+")
+INSULT = [re.compile(r"(?<![^\W_])(?:" + "|".join(x) + r")(?![^\W_])") for x in INSULTS]
+
+
+def junk_votes(text: str) -> Votes:
+    """Overlapping signs of text that isn't prose: symbols, capitals, marks, echoes, few words, no stops, next to nothing."""
+    w = text.split()
+    n, chars = max(1, len(w)), max(1, sum(map(len, w)))
+    head = w[:200]
+
+    def vote(share: float, yes, no) -> int | None:
+        return 1 if yes(share) else 0 if no(share) else None
+
+    return (
+        vote(sum(map(text.count, SYMBOLS)) / n, lambda x: x > 0.25, lambda x: x < 0.05),
+        vote(len(NOT_CAPITAL.sub("", text)) / chars, lambda x: x > 0.5, lambda x: x < 0.15),
+        vote(sum(map(text.count, "!?|")) / n, lambda x: x > 0.25, lambda x: x < 0.05),
+        vote(sum(map(str.__eq__, w, w[1:])) / n, lambda x: x > 0.3, lambda x: x < 0.1),
+        vote(len(set(head)) / max(1, len(head)), lambda x: x < 0.25, lambda x: x > 0.4),
+        vote(sum(map(text.count, ".,;:")) / n, lambda x: x < 0.02, lambda x: x > 0.04),
+        1 if n < 5 else None,
+    )
+
+
+def toxic_votes(text: str) -> Votes:
     """Lists of insults, each alone a weak sign; they abstain where they find none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return {f"insults_{i}": F.when(low.rlike("(?<![\\p{L}\\p{N}])(?:" + "|".join(x) + ")(?![\\p{L}\\p{N}])"), 1) for i, x in enumerate(INSULTS)}
+    low = text.lower()
+    return tuple(1 if p.search(low) else None for p in INSULT)
 
 
-HEADS = {"junk": junk_labellers, "toxic": toxic_labellers}
+HEADS = {"junk": junk_votes, "toxic": toxic_votes}
 #: Given labels vote too, as one more labeller: column of the labels table, and whether 1 means the class.
 GIVEN_ERROR = 1e-5
 GIVEN = {"junk": ("quality", False), "toxic": ("toxic", True)}
@@ -141,11 +142,10 @@ def _code(votes: tuple) -> int:
     return sum((2 if v is None else v) * 3**i for i, v in enumerate(votes))
 
 
-def _code_column(votes: Votes) -> Column:
-    out = F.lit(0)
-    for i, v in enumerate(votes.values()):
-        out = out + F.coalesce(v, F.lit(2)) * 3**i
-    return out.cast("int")
+@F.pandas_udf(ArrayType(IntegerType()))
+def vote_codes(texts: pd.Series) -> pd.Series:
+    """The votes of each head as one number, base three."""
+    return pd.Series([[_code(votes(x or "")) for votes in HEADS.values()] for x in texts])
 
 
 def _decode(code: int, k: int) -> tuple:
@@ -185,7 +185,7 @@ def features(text: str | None, index: WordIndex) -> tuple[np.ndarray, np.ndarray
     shares = (
         sum(map(text.count, SYMBOLS)) / n,
         sum(map(text.count, "!?|")) / n,
-        sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / chars,
+        len(NOT_CAPITAL.sub("", text)) / chars,
         len(set(head)) / max(1, len(head)),
         sum(map(text.count, ".,;:")) / n,
     )
@@ -237,16 +237,19 @@ def _hash_share(key: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000) + 1
 
 
-def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", heads=HEADS, fit_rows: int = FIT_ROWS) -> list[Scorer]:
+def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> list[Scorer]:
     """Label models from the votes on all rows, and linear scorers fitted on about ``fit_rows`` of them.
 
     The vote patterns of all rows are counted in one pass; ``labels`` (id and
-    the columns of ``GIVEN``) vote as one more labeller where they exist.  Half of the
-    rows to fit on are drawn from those with labels, half from all, by a hash,
-    so they are the same in every run.
+    the columns of ``GIVEN``) vote as one more labeller where they exist.  Most of the
+    rows to fit on are drawn from those with labels, the rest from all, by a
+    hash, so they are the same in every run.
     """
-    codes = [_code_column(make(F.col(text_col))).alias(name) for name, make in heads.items()]
-    sizes = {name: len(make(F.lit(""))) for name, make in heads.items()}
+    sizes = {name: len(votes("")) for name, votes in HEADS.items()}
+
+    def coded(rows: DataFrame, text: str) -> DataFrame:
+        made = rows.withColumn("__votes", vote_codes(F.col(text)))
+        return made.select("*", *[F.get("__votes", F.lit(i)).alias(name) for i, name in enumerate(HEADS)])
 
     def given(name: str) -> Column:
         column, same = GIVEN[name]
@@ -258,12 +261,12 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         told = labels.groupBy(F.col(id_col).alias("__label_id")).agg(F.max("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
 
     def voted(rows: DataFrame, by: DataFrame, how: str, *more: str) -> DataFrame:
-        return rows.join(by, F.col("__id") == F.col("__label_id"), how).select(*more, *[given(name).alias(name) for name in heads])
+        return rows.join(by, F.col("__id") == F.col("__label_id"), how).select(*more, *[given(name).alias(name) for name in HEADS])
 
-    counts = voted(docs.select(F.col(id_col).alias("__id"), *codes), told, "left").groupBy(*heads).count().collect()
+    counts = voted(coded(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text"), told, "left").groupBy(*HEADS).count().collect()
     total = sum(r["count"] for r in counts)
     out = []
-    for name in heads:
+    for name in HEADS:
         patterns: dict[tuple, int] = {}
         for r in counts:
             p = _decode(r[name], sizes[name] + 1)
@@ -273,9 +276,9 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         return out
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     n_told = told.count()
-    some = cut(told.filter(_hash_share(F.col("__label_id"), fit_rows / 2 / max(1, n_told))))
-    sure = voted(rows.join(maybe_broadcast(some.select(F.col("__label_id").alias("__id")), fit_rows), "__id", "left_semi").select("__id", "__text", *[_code_column(make(F.col("__text"))).alias(n) for n, make in heads.items()]), some, "inner", "__text")
-    weak = rows.filter(_hash_share(F.coalesce("__text", F.lit("")), fit_rows / 2 / total)).select("__id", "__text", *[_code_column(make(F.col("__text"))).alias(n) for n, make in heads.items()])
+    some = cut(told.filter(_hash_share(F.col("__label_id"), LABELLED * fit_rows / max(1, n_told))))
+    sure = voted(coded(rows.join(maybe_broadcast(some.select(F.col("__label_id").alias("__id")), fit_rows), "__id", "left_semi"), "__text"), some, "inner", "__text")
+    weak = coded(rows.filter(_hash_share(F.coalesce("__text", F.lit("")), (1 - LABELLED) * fit_rows / total)), "__text")
     drawn = sure.unionByName(voted(weak, some, "left", "__text"))
     beliefs = [_posterior_column(s.patterns, s.labels, F.col(s.head)).cast("double").alias(f"y{i}") for i, s in enumerate(out)]
     fit = cut(drawn.select("__text", *beliefs))
@@ -292,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, scorers: list[Scorer] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, scorers: list[Scorer] | None = None) -> DataFrame:
     """Per row: id, and for each head its weak label (``junk_label``), score (``junk_score``), and ``kept``.
 
     A row is kept if no head's linear score reaches the threshold.  Null and
@@ -300,13 +303,13 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     scores each; extra columns are ignored; no rows give no rows.
     """
     scorers = scorers or train(docs, labels, id_col, text_col)
-    codes = [_code_column(HEADS[s.head](F.col(text_col))).alias(f"__c_{s.head}") for s in scorers]
-    out = docs.select(F.col(id_col).alias("__id"), *codes, score_column(F.col(text_col), scorers).alias("__scores"))
+    out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    out = out.select("__id", vote_codes("__text").alias("__votes"), score_column(F.col("__text"), scorers).alias("__scores"))
     scores, bad = [], F.lit(False)
     for i, s in enumerate(scorers):
         score = F.get("__scores", F.lit(i))
         abstain = 2 * 3 ** (len(next(iter(s.patterns), (None,))) - 1)
-        label = _posterior_column({(*p[:-1], None): 1 for p in s.patterns}, s.labels, F.col(f"__c_{s.head}") + F.lit(abstain))
+        label = _posterior_column({(*p[:-1], None): 1 for p in s.patterns}, s.labels, F.get("__votes", F.lit(i)) + F.lit(abstain))
         scores += [F.round(label, 6).alias(f"{s.head}_label"), F.round(score, 6).alias(f"{s.head}_score")]
         bad = bad | (score >= threshold)
     return out.select(F.col("__id").alias(id_col), *scores, (~bad).alias("kept"))
