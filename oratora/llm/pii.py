@@ -158,17 +158,21 @@ def disclosures(docs: DataFrame, occurrences: DataFrame, text_col: str = "text",
     """
     # distinct texts and contexts count, not copies
     seen = occurrences.select("entity", "term", "key", "context").distinct()
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.select(_key(t).alias("key")).distinct().count()
     pairs = seen.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("context").alias("contexts")).filter((F.col("both") >= min_support) & (F.col("contexts") >= min_support))
-    pairs = cut(pairs)
+    entities = seen.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # a term is in at least the texts that have it near a value; where these alone are too many for the
+    # threshold, its other texts need no counting
+    near = seen.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    bound = F.col("both") * F.pow(F.lit(float(max(total, 1))) / F.col("with_entity"), F.lit(1 - generalise))
+    pairs = cut(pairs.join(entities, "entity").join(near, "term").filter(F.col("near") <= bound * (1 + 1e-9)).select("entity", "term", "both", "with_entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    entities = seen.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = cut(pairs.select("term").distinct())
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    each = docs.select(_key(t).alias("key"), F.explode(F.array_distinct(F.split(F.lower(t), "[^\\p{L}\\p{M}]+"))).alias("term"))
-    with_term = each.join(maybe_broadcast(terms, terms.count()), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.select(_key(t).alias("key")).distinct().count()
-    joined = pairs.join(entities, "entity").join(with_term, "term")
+    unique = docs.select(_key(t).alias("key"), t.alias("text")).dropDuplicates(["key"])
+    each = unique.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+"))).alias("term"))
+    with_term = each.groupBy("term").agg(F.count("*").alias("with_term"))
+    joined = pairs.join(with_term, "term")
     pe, pt, both = F.col("with_entity") / total, F.col("with_term") / total, F.col("both") / total
     share = F.when(pe >= 1, F.lit(0.0)).otherwise(F.log(both / (pe * pt)) / -F.log(pe))
     return joined.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise)
