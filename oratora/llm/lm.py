@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, send_by_value
+from .common import cut, maybe_broadcast, send_by_value, words
 
 send_by_value(__name__)
 
@@ -22,14 +22,15 @@ START = 0
 HOT_WORDS = 100_000
 #: Pairs in at least one of so many documents (of a sample of one in SAMPLE) are dealt with apart.
 HOT_PAIRS, SAMPLE = 64, 64
+SALTS = 64
 #: Rounds into which the pairs are dealt, so that one round's shuffle is a part of the whole.
 ROUNDS = 3
 #: Words hashed at a time.
 CACHE_WORDS = 300_000
 ROWS = 200_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-UNIGRAMS = "word bigint, tf int"
 PAIRS = "doc bigint, prev bigint, cur bigint, tf int, tf_prev int, tf_cur int"
 
 
@@ -39,7 +40,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word, 42)  # as Spark's own function
         value = self[word] = h - (1 << 64) if h >> 63 else h
         return value
 
@@ -52,13 +53,13 @@ def hashes(text: str | None, known: WordHash) -> np.ndarray:
 
 def document_pairs(h: np.ndarray, part: int = 0, rounds: int = 1) -> tuple[np.ndarray, ...]:
     """Distinct pairs of one document that belong to a round: prev, cur, count, and the counts of both words."""
-    words, index, counts = np.unique(h, return_inverse=True, return_counts=True)
-    codes, tf = np.unique(index[:-1] * len(words) + index[1:], return_counts=True)
-    p, c = codes // len(words), codes % len(words)
+    found, index, counts = np.unique(h, return_inverse=True, return_counts=True)
+    codes = index[:-1] * len(found) + index[1:]
     if rounds > 1:
-        mine = ((words[p] * 31 + words[c]) >> 7) % rounds == part
-        p, c, tf = p[mine], c[mine], tf[mine]
-    return words[p], words[c], tf.astype(np.int32), counts[p].astype(np.int32), counts[c].astype(np.int32)
+        codes = codes[((h[:-1] * 31 + h[1:]) >> 7) % rounds == part]
+    codes, tf = np.unique(codes, return_counts=True)
+    p, c = codes // len(found), codes % len(found)
+    return found[p], found[c], tf.astype(np.int32), counts[p].astype(np.int32), counts[c].astype(np.int32)
 
 
 def doc_key(id_col: str, text_col: str) -> Column:
@@ -92,20 +93,9 @@ def _pairs(docs: DataFrame, part: int, rounds: int) -> DataFrame:
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n)`` over all documents, the start mark included (once a document)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            parts = [np.unique(hashes(x.as_py(), known), return_counts=True) for x in batch.column(0)]
-            if not parts:
-                continue
-            # many documents at once: their common words are added up here
-            words, index = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-            sums = np.bincount(index, np.concatenate([n for _, n in parts])).astype(np.int32)
-            for at in range(0, len(words), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + ROWS]), pa.array(sums[at : at + ROWS])], ["word", "tf"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, UNIGRAMS).groupBy("word").agg(F.sum("tf").alias("n"))
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word = F.explode(F.concat(F.array(F.lit("")), words(lower))).alias("w")  # the empty word stands for the start
+    return docs.select(word).select(F.when(F.col("w") == "", F.lit(START).cast("long")).otherwise(F.xxhash64("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _by_word(rows: DataFrame, counts: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
@@ -150,21 +140,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             F.col("tf") * F.when(known > 0, F.log(F.lit(alpha) * known / total)).otherwise(F.lit(2 * math.log(alpha) - math.log(max(1, total)))),
         )
 
-    before = spark.conf.get(CLEANUP)
+    before = {k: spark.conf.get(k) for k in (CLEANUP, BATCH)}
     sums = None
     try:
         spark.conf.set(CLEANUP, "true")  # a round's shuffle files go once its sums are written
+        spark.conf.set(BATCH, "2000")  # texts in a Python worker at a time
         for part in range(rounds):
             rows = _pairs(texts, part, rounds)
+            if n_common:  # rows of common pairs are dealt by document too
+                rows = rows.join(maybe_broadcast(common, n_common), ["prev", "cur"], "left").withColumn("salt", F.when(F.col("common"), F.pmod(F.col("doc"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+            else:
+                rows = rows.withColumns({"common": F.lit(None).cast("boolean"), "salt": F.lit(0)})
+            # one exchange for all that follows
+            dealt = rows.repartition("prev", "cur", "salt")
+            here = dealt.withColumn("pair_n", F.sum("tf").over(Window.partitionBy("prev", "cur", "salt")))
             if n_common:
-                rows = rows.join(maybe_broadcast(common, n_common), ["prev", "cur"], "left")
-                apart = rows.filter("common is not null").drop("common")
-                pair_counts = cut(apart.groupBy("prev", "cur").agg(F.sum("tf").alias("pair_n")))
-                counted = apart.join(maybe_broadcast(pair_counts, n_common), ["prev", "cur"])
-                rows = rows.filter("common is null").drop("common")
-            here = rows.withColumn("pair_n", F.sum("tf").over(Window.partitionBy("prev", "cur")))
-            if n_common:
-                here = here.unionByName(counted)
+                totals = dealt.filter("common").groupBy("prev", "cur").agg(F.sum("tf").alias("total_n"))
+                here = here.join(maybe_broadcast(totals, n_common), ["prev", "cur"], "left").withColumn("pair_n", F.coalesce("total_n", "pair_n"))
             elsewhere = F.col("pair_n") - F.col("tf")
             seen = elsewhere > 0
             need = here.select("doc", "tf", elsewhere.alias("elsewhere"), F.when(seen, F.col("prev")).otherwise(F.col("cur")).alias("word"), F.when(seen, F.col("tf_prev")).otherwise(F.col("tf_cur")).alias("tf_word"))
@@ -173,7 +165,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
             done = cut(added.groupBy("doc").agg(F.sum("v").alias("v")))
             sums = done if sums is None else sums.unionByName(done)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
     n_words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
     base = cut(keyed.select("id", "doc", n_words.alias("n_words")))
