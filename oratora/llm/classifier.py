@@ -39,7 +39,8 @@ Votes = tuple[int | None, ...]
 """One entry a labeller: 1 for the class, 0 against it, None to abstain."""
 
 NOT_CAPITAL = re.compile(r"[^A-Z]+")
-INSULT = [re.compile(r"(?<![^\W_])(?:" + "|".join(x) + r")(?![^\W_])") for x in INSULTS]
+INSULT = [frozenset(x) for x in INSULTS]
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def junk_votes(text: str) -> Votes:
@@ -64,8 +65,8 @@ def junk_votes(text: str) -> Votes:
 
 def toxic_votes(text: str) -> Votes:
     """Lists of insults, each alone a weak sign; they abstain where they find none."""
-    low = text.lower()
-    return tuple(1 if p.search(low) else None for p in INSULT)
+    found = set(LETTERS.findall(text.lower()))
+    return tuple(None if found.isdisjoint(x) else 1 for x in INSULT)
 
 
 HEADS = {"junk": junk_votes, "toxic": toxic_votes}
