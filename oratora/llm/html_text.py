@@ -44,12 +44,12 @@ BLANK = re.compile(r"\s+")
 
 
 class Node:
-    """One stretch of text: its tag path, the block that it is in, and whether that is marked as boilerplate."""
+    """One stretch of text: its tag path, the block element and the block that it is in, and whether that is marked as boilerplate."""
 
-    __slots__ = ("path", "text", "block", "marked", "article", "weight", "heading", "linked")
+    __slots__ = ("path", "element", "text", "block", "marked", "article", "weight", "heading", "linked")
 
-    def __init__(self, path, text, block, marked, article, heading, linked):
-        self.path, self.text, self.block, self.marked, self.article, self.heading, self.linked = path, text, block, marked, article, heading, linked
+    def __init__(self, path, element, text, block, marked, article, heading, linked):
+        self.path, self.element, self.text, self.block, self.marked, self.article, self.heading, self.linked = path, element, text, block, marked, article, heading, linked
         self.weight = 0.0
 
 
@@ -70,10 +70,14 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def parse(page: str) -> list[Node]:
-    """Text nodes in page order; unclosed and stray tags are taken as browsers take them, roughly."""
+def parse(page: str) -> tuple[list[Node], list[int]]:
+    """Text nodes in page order, and the parent of each block element (0 is the page).
+
+    Unclosed and stray tags are taken as browsers take them, roughly.
+    """
     nodes: list[Node] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, marked, in the article
+    parents = [0]
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, marked, in the article, block element
     block, at, end = 0, 0, len(page)
 
     def add(raw: str) -> None:
@@ -81,9 +85,9 @@ def parse(page: str) -> list[Node]:
             if raw and nodes and nodes[-1].block == block:
                 nodes[-1].text += " "
             return
-        tags = [t for t, _, _ in stack]
-        marked, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        nodes.append(Node("/".join(t for t in tags if t in BLOCKS), html.unescape(raw), block, marked, article, bool(HEADINGS.intersection(tags)), "a" in tags))
+        tags = [t for t, *_ in stack]
+        _, marked, article, element = stack[-1] if stack else ("", False, False, 0)
+        nodes.append(Node("/".join(t for t in tags if t in BLOCKS), element, html.unescape(raw), block, marked, article, bool(HEADINGS.intersection(tags)), "a" in tags))
 
     def close(tags: set, scopes: set) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -104,7 +108,7 @@ def parse(page: str) -> list[Node]:
             continue
         tag = NAME.match(token)[1].lower()
         if token[1] == "/":
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 while stack.pop()[0] != tag:
                     pass
             if tag in BLOCKS:
@@ -130,8 +134,12 @@ def parse(page: str) -> list[Node]:
         if tag in VOID or token.endswith("/>"):
             continue
         inside = bool(stack and stack[-1][2]) or tag in ("article", "main")
-        stack.append((tag, bool(stack and stack[-1][1]) or _marked(tag, token[len(tag) + 1 : -1], inside), inside))
-    return nodes
+        element = stack[-1][3] if stack else 0
+        if tag in BLOCKS:
+            parents.append(element)
+            element = len(parents) - 1
+        stack.append((tag, bool(stack and stack[-1][1]) or _marked(tag, token[len(tag) + 1 : -1], inside), inside, element))
+    return nodes, parents
 
 
 def _smooth(values: list[float], radius: int = 1) -> list[float]:
@@ -176,28 +184,36 @@ def content_paths(nodes: list[Node]) -> set[str]:
     return {p for p, vs in mean_of.items() if fused[p] and sum(vs) / len(vs) >= threshold and fused[p] >= 0.1 * best}
 
 
-def _container(paths: dict[str, int]) -> str:
-    """The deepest path that holds nine tenths of the chosen text."""
-    total, at = sum(paths.values()), ""
-    while True:
-        below: dict[str, int] = {}
-        for p, n in paths.items():
-            if at == "" or p.startswith(at + "/"):
-                rest = p[len(at) + 1 if at else 0 :]
-                if rest:
-                    step = (at + "/" if at else "") + rest.split("/")[0]
-                    below[step] = below.get(step, 0) + n
-        step = max(below, key=below.get, default=None)
-        if step is None or below[step] < 0.9 * total:
-            return at
-        at = step
+def _container(nodes: list[Node], chosen: set[str], parents: list[int]) -> list[bool]:
+    """For each element, whether it is in the deepest one that holds nine tenths of the chosen text.
+
+    An element without other elements of text in it, as a paragraph, holds none: its parent does.
+    """
+    outer = [False] * len(parents)
+    for n in nodes:
+        at = n.element
+        while at and not outer[parents[at]]:
+            at = parents[at]
+            outer[at] = True
+    held = [0] * len(parents)
+    for n in nodes:
+        if n.path in chosen:
+            held[n.element if outer[n.element] else parents[n.element]] += len(n.text)
+    for at in range(len(parents) - 1, 0, -1):
+        held[parents[at]] += held[at]
+    # an element's number is above its parent's, so the last of those with the share is the deepest
+    root = max((at for at, x in enumerate(held) if x and x >= 0.9 * held[0]), default=0)
+    inside = [root == 0]
+    for at in range(1, len(parents)):
+        inside.append(at == root or inside[parents[at]])
+    return inside
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line; empty if there are none."""
     if not page:
         return ""
-    nodes = parse(page)
+    nodes, parents = parse(page)
     if not nodes:
         return ""
     free = [n for n in nodes if not n.marked]
@@ -206,13 +222,9 @@ def main_text(page: str | None) -> str:
     if not free:
         return ""
     chosen = content_paths(free)
-    lengths: dict[str, int] = {}
-    for n in free:
-        if n.path in chosen:
-            lengths[n.path] = lengths.get(n.path, 0) + len(n.text)
-    root = _container(lengths)
+    inside = _container(free, chosen, parents)
     # short blocks and headings of the article stay with it, whatever their own ratios
-    keep = {n.block for n in free if n.path in chosen or n.article or n.path.startswith(f"{root}/") and not n.linked}
+    keep = {n.block for n in free if n.path in chosen or n.article or inside[n.element] and (n.heading or not n.linked)}
     blocks: dict[int, list[str]] = {}
     for n in free:
         if n.block in keep:

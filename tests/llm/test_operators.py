@@ -248,6 +248,27 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "Long words of the main text, with marks. " * 10
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # short blocks beside long paragraphs, in a page of divs only; links beside the container go
+        (
+            f"<body><div><ul><li><a href=x>Home</a></ul></div><div id=content>Lead<h2>Head</h2><p>{LONG}</p><ul><li>one<li>two</ul><p>{LONG}</p><h3><a href=y>More</a></h3><table><tr><td>4<td>5</table></div><div><a href=z>Z</a></div></body>",
+            ["Lead", "Head", LONG.strip(), "one", "two", LONG.strip(), "More", "4", "5"],
+        ),
+        # one long paragraph holds nearly all text, yet isn't the container; nor are elements with its path
+        (f"<body><div><h2>Head</h2><p>{LONG}</p></div><div><span>Note</span></div></body>", ["Head", LONG.strip()]),
+        # no container at all
+        (f"<h2>Head</h2><p>{LONG}</p>tail", ["Head", LONG.strip(), "tail"]),
+    ],
+)
+def test_main_text_keeps_short_blocks(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_main_text_of_the_table(spark, sf_dir):
     import html
 
