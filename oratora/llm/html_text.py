@@ -31,6 +31,9 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars side widget footer header masthead comment comments reply replies discussion disqus share sharing social related recommended recommendations newsletter subscribe signup login search pagination pager toolbar skip alert".split()
 )
+#: Elements that speak for what is in them, and the factor of their paths' ratios.
+MAIN = frozenset("article main".split())
+MAIN_FACTOR = 1.5
 #: Marks that an article's own parts may bear without being boilerplate.
 INSIDE_OK = frozenset("header".split())
 
@@ -46,10 +49,10 @@ BLANK = re.compile(r"\s+")
 class Node:
     """One stretch of text: its tag path, the block element and the block that it is in, and whether that is marked as boilerplate."""
 
-    __slots__ = ("path", "element", "text", "block", "marked", "article", "weight", "heading", "linked")
+    __slots__ = ("path", "element", "text", "block", "marked", "weight", "heading", "linked")
 
-    def __init__(self, path, element, text, block, marked, article, heading, linked):
-        self.path, self.element, self.text, self.block, self.marked, self.article, self.heading, self.linked = path, element, text, block, marked, article, heading, linked
+    def __init__(self, path, element, text, block, marked, heading, linked):
+        self.path, self.element, self.text, self.block, self.marked, self.heading, self.linked = path, element, text, block, marked, heading, linked
         self.weight = 0.0
 
 
@@ -86,8 +89,8 @@ def parse(page: str) -> tuple[list[Node], list[int]]:
                 nodes[-1].text += " "
             return
         tags = [t for t, *_ in stack]
-        _, marked, article, element = stack[-1] if stack else ("", False, False, 0)
-        nodes.append(Node("/".join(t for t in tags if t in BLOCKS), element, html.unescape(raw), block, marked, article, bool(HEADINGS.intersection(tags)), "a" in tags))
+        _, marked, _, element = stack[-1] if stack else ("", False, False, 0)
+        nodes.append(Node("/".join(t for t in tags if t in BLOCKS), element, html.unescape(raw), block, marked, bool(HEADINGS.intersection(tags)), "a" in tags))
 
     def close(tags: set, scopes: set) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -133,7 +136,7 @@ def parse(page: str) -> tuple[list[Node], list[int]]:
             close(CLOSES[tag], SCOPES[tag])
         if tag in VOID or token.endswith("/>"):
             continue
-        inside = bool(stack and stack[-1][2]) or tag in ("article", "main")
+        inside = bool(stack and stack[-1][2]) or tag in MAIN
         element = stack[-1][3] if stack else 0
         if tag in BLOCKS:
             parents.append(element)
@@ -161,7 +164,7 @@ def content_paths(nodes: list[Node]) -> set[str]:
 
     A path's text ratio is the mean length of its nodes, its punctuation
     ratio the mean number of marks; linked text counts for nothing.  Their
-    fusion is the geometric mean, given to each node, smoothed in page order,
+    fusion is the geometric mean, more in an article, given to each node, smoothed in page order,
     averaged over the path again, and held against a share of the standard
     deviation of all nodes.
     """
@@ -172,7 +175,7 @@ def content_paths(nodes: list[Node]) -> set[str]:
         if not n.linked:
             s[1] += len(n.text.strip())
             s[2] += len(PUNCTUATION.findall(n.text))
-    fused = {p: math.sqrt((chars / k) * (1 + marks / k)) if chars else 0.0 for p, (k, chars, marks) in stats.items()}
+    fused = {p: math.sqrt((chars / k) * (1 + marks / k)) * (1.0 if MAIN.isdisjoint(p.split("/")) else MAIN_FACTOR) if chars else 0.0 for p, (k, chars, marks) in stats.items()}
     smooth = _smooth([fused[n.path] for n in nodes])
     mean_of: dict[str, list[float]] = {}
     for n, v in zip(nodes, smooth):
@@ -217,14 +220,12 @@ def main_text(page: str | None) -> str:
     if not nodes:
         return ""
     free = [n for n in nodes if not n.marked]
-    if any(n.article for n in free):
-        free = [n for n in free if n.article]
     if not free:
         return ""
     chosen = content_paths(free)
     inside = _container(free, chosen, parents)
     # short blocks and headings of the article stay with it, whatever their own ratios
-    keep = {n.block for n in free if n.path in chosen or n.article or inside[n.element] and (n.heading or not n.linked)}
+    keep = {n.block for n in free if n.path in chosen or inside[n.element] and (n.heading or not n.linked)}
     blocks: dict[int, list[str]] = {}
     for n in free:
         if n.block in keep:

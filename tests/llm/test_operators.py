@@ -269,6 +269,15 @@ def test_main_text_keeps_short_blocks(page, want):
     assert html_text.main_text(page).split("\n") == want
 
 
+def test_main_text_is_chosen_by_scores_on_pages_with_an_article():
+    # a teaser in an article beside the main text
+    page = f"<body><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><article><a href=x>Related story</a></article></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", LONG.strip(), LONG.strip()]
+    # links in main that are no part of the text
+    page = f"<body><div>Site</div><main><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>{LONG}</p><h2>Head</h2><p>With <a href=z>a link</a>.</p></main></body>"
+    assert html_text.main_text(page).split("\n") == [LONG.strip(), "Head", "With a link."]
+
+
 def test_main_text_of_the_table(spark, sf_dir):
     import html
 
