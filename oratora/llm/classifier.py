@@ -41,13 +41,19 @@ Votes = tuple[int | None, ...]
 NOT_CAPITAL = re.compile(r"[^A-Z]+")
 INSULT = [frozenset(x) for x in INSULTS]
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Words in which repeats are looked for at once, so that long texts compare with short ones.
+WINDOW = 200
+
+
+def distinct_share(w: list[str]) -> float:
+    """Share of distinct words, the mean over all consecutive windows of the text by their words."""
+    return sum(len(set(w[i : i + WINDOW])) for i in range(0, len(w), WINDOW)) / max(1, len(w))
 
 
 def junk_votes(text: str) -> Votes:
     """Overlapping signs of text that isn't prose: symbols, capitals, marks, echoes, few words, no stops, next to nothing."""
     w = text.split()
     n, chars = max(1, len(w)), max(1, sum(map(len, w)))
-    head = w[:200]
 
     def vote(share: float, yes, no) -> int | None:
         return 1 if yes(share) else 0 if no(share) else None
@@ -57,7 +63,7 @@ def junk_votes(text: str) -> Votes:
         vote(len(NOT_CAPITAL.sub("", text)) / chars, lambda x: x > 0.5, lambda x: x < 0.15),
         vote(sum(map(text.count, "!?|")) / n, lambda x: x > 0.25, lambda x: x < 0.05),
         vote(sum(map(str.__eq__, w, w[1:])) / n, lambda x: x > 0.3, lambda x: x < 0.1),
-        vote(len(set(head)) / max(1, len(head)), lambda x: x < 0.25, lambda x: x > 0.4),
+        vote(distinct_share(w), lambda x: x < 0.25, lambda x: x > 0.4),
         vote(sum(map(text.count, ".,;:")) / n, lambda x: x < 0.02, lambda x: x > 0.04),
         1 if n < 5 else None,
     )
@@ -182,12 +188,11 @@ def features(text: str | None, index: WordIndex) -> tuple[np.ndarray, np.ndarray
     found = WORD.findall(text.lower())
     packed = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
     n, chars = max(1, len(found)), max(1, sum(map(len, found)))
-    head = found[:200]
     shares = (
         sum(map(text.count, SYMBOLS)) / n,
         sum(map(text.count, "!?|")) / n,
         len(NOT_CAPITAL.sub("", text)) / chars,
-        len(set(head)) / max(1, len(head)),
+        distinct_share(found),
         sum(map(text.count, ".,;:")) / n,
     )
     style = np.array([STYLE_AT + i * LEVELS + min(LEVELS - 1, int(10 * v)) for i, v in enumerate(shares)], np.int64)

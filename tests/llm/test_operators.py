@@ -209,6 +209,15 @@ def test_label_model_finds_accuracies():
     assert wrong / 6000 < 0.13
 
 
+def test_repeats_after_a_varied_opening_are_seen():
+    varied = [f"{a}{b}" for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    clean, opened = " ".join(varied[:200]), " ".join(varied[:200] + ["same", "few", "words"] * 1000)
+
+    k = classifier.STYLES.index("distinct")
+    style = [classifier.features(t, classifier.WordIndex())[1][k] - classifier.STYLE_AT - k * classifier.LEVELS for t in (clean, opened)]
+    assert [classifier.junk_votes(t)[4] for t in (clean, opened)] == [0, 1] and style == [10, 0]
+
+
 def test_classifier_on_held_out_labels(spark):
     """Scorers fitted on half of the labels, held against the other half."""
     d = "/root/testdata/sf0.1"
