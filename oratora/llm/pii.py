@@ -27,7 +27,7 @@ IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 MIN_SUPPORT = 3
 #: Share of a value's information that a term may disclose; from the second threshold on the term goes altogether.
 GENERALISE, REMOVE = 0.75, 0.95
-#: Code points on each side of a value in which terms are looked for.
+#: Code points on each side of a value that tell its contexts apart; terms are looked for in whole texts.
 CONTEXT = 64
 
 BLOCK = 512
@@ -110,42 +110,68 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """For each span, the words around it: ``(value, side, start, end, term)``."""
+def _word_spans(text: Column) -> Column:
+    """Spans of the words of a text, with the lower-cased word as value."""
+    pattern = "[\\p{L}\\p{M}]{3,}"
 
-    def words_of(s: Column) -> Column:
-        def side(at: Column, piece: Column) -> Column:
-            words = F.regexp_extract_all(piece, F.lit("[\\p{L}\\p{M}]{3,}"), 0)
-            gaps = F.split(piece, "[\\p{L}\\p{M}]{3,}", -1)
-            steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(words)), words, lambda g, w: F.length(g) + F.length(w))
-            return let(words, lambda ws: let(_prefix_sums(steps), lambda ends: F.zip_with(ws, ends, lambda w, e: F.struct((at + e - F.length(w)).alias("start"), (at + e).alias("end"), F.lower(w).alias("term")))))
+    def locate(words: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(words)), words, lambda g, w: F.length(g) + F.length(w))
+        return let(_prefix_sums(steps), lambda ends: F.zip_with(words, ends, lambda w, e: _span(e - F.length(w), e, F.lower(w))))
 
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        near = F.substring(text, left + 1, s["start"] - left)
-        # words that the window cuts off are not words of the context
-        before = F.when(left > 0, F.regexp_replace(near, "^[\\p{L}\\p{M}]+", "")).otherwise(near)
-        ahead = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        after = F.when(F.length(text) > s["end"] + CONTEXT, F.regexp_replace(ahead, "[\\p{L}\\p{M}]+$", "")).otherwise(ahead)
-        found = F.concat(side(s["start"] - F.length(before), before), side(s["end"], after))
-        context = F.xxhash64(near, ahead)
-        return F.transform(found, lambda w: F.struct(s["value"].alias("value"), context.alias("context"), w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term")))
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), locate)
 
-    return F.flatten(F.transform(spans, words_of))
+
+def _clear(word: Column, spans: list[Column]) -> Column:
+    """Whether a word is outside all base spans."""
+    hit = F.lit(False)
+    for s in spans:
+        hit = hit | F.exists(s, lambda x: (x["start"] < word["end"]) & (word["start"] < x["end"]))
+    return ~hit
 
 
 def term_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, key, entity, context, start, end, term)``: words around protected values, outside all base spans."""
+    """``(key, entities, terms)`` of each distinct text with protected values: these, with the
+    stretch around each as context, and the distinct words of the whole text outside all base spans."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    spanned = docs.select(t.alias("text")).select("*", *[base_spans(F.col("text"), k).alias(f"__{k}") for k in KINDS])
+
+    def entity(kind: str) -> Column:
+        def of(s: Column) -> Column:
+            left = F.greatest(s["start"] - CONTEXT, F.lit(0))
+            context = F.xxhash64(F.substring(F.col("text"), left + 1, s["start"] - left), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT)))
+            return F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), context.alias("context"))
+
+        return F.transform(f"__{kind}", of)
+
+    spans = [F.col(f"__{k}") for k in KINDS]
+    held = spanned.filter(F.size(F.concat(*[entity(k) for k in KINDS])) > 0)
+    words = F.filter(_word_spans(F.col("text")), lambda w: _clear(w, spans))
+    return held.select(_key(F.col("text")).alias("key"), F.array_distinct(F.concat(*[entity(k) for k in KINDS])).alias("entities"), F.array_distinct(F.transform(words, lambda w: w["value"])).alias("terms")).dropDuplicates(["key"])
+
+
+def _candidates(docs: DataFrame, occurrences: DataFrame, text_col: str, min_support: int, generalise: float) -> tuple[DataFrame, int]:
+    """``(key, entity, context, term, with_entity, with_term)`` of values and terms that may reach support and threshold, and the number of distinct texts."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    spanned = docs.select(F.col(id_col).alias("doc"), t.alias("text")).select("*", *[base_spans(F.col("text"), k).alias(f"__{k}") for k in KINDS])
+    total = docs.select(_key(t).alias("key")).distinct().count()
+    seen = occurrences.select("key", F.explode("entities").alias("e")).select("key", "e.entity", "e.context")
+    entities = cut(seen.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= min_support))
+    n, most = entities.agg(F.count("*"), F.max("with_entity")).first()
+    # both are at most with_entity: a term in more texts than this can't reach the threshold
+    bound = F.col("with_entity") * F.pow(F.lit(float(max(total, 1))) / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
+    highest = (most or 0) * (max(total, 1) / max(most or 1, 1)) ** (1 - generalise) * (1 + 1e-9)
+    unique = docs.select(_key(t).alias("key"), t.alias("text")).dropDuplicates(["key"])
+    each = unique.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+"))).alias("term"))
+    with_term = cut(each.groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term").between(min_support, highest) & (F.length("term") >= 3)))
+    valued = seen.join(maybe_broadcast(entities, n), "entity")
+    termed = occurrences.join(valued.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("term")).join(maybe_broadcast(with_term, with_term.count()), "term")
+    return valued.join(termed, "key").filter(F.col("with_term") <= bound), total
 
-    def tag(kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda s: _span(s["start"], s["end"], F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))))
 
-    tagged = F.concat(*[tag(k) for k in KINDS])
-    held = spanned.select("doc", "text", tagged.alias("spans")).filter(F.size("spans") > 0)
-    rows = held.select("doc", _key(F.col("text")).alias("key"), "spans", F.explode(_contexts(F.col("text"), F.col("spans"))).alias("w"))
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return rows.filter(clear).select("doc", "key", F.col("w.value").alias("entity"), "w.context", "w.start", "w.end", "w.term")
+def _disclosing(pairs: DataFrame, total: int, min_support: int, generalise: float) -> DataFrame:
+    counted = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.countDistinct("key").alias("n_both"), F.countDistinct("context").alias("contexts")).filter((F.col("n_both") >= min_support) & (F.col("contexts") >= min_support))
+    pe, pt, both = F.col("with_entity") / total, F.col("with_term") / total, F.col("n_both") / total
+    share = F.when(pe >= 1, F.lit(0.0)).otherwise(F.log(both / (pe * pt)) / -F.log(pe))
+    return counted.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise)
 
 
 def disclosures(docs: DataFrame, occurrences: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -156,35 +182,30 @@ def disclosures(docs: DataFrame, occurrences: DataFrame, text_col: str = "text",
     with the term has the value.  Probabilities are shares of the distinct
     texts of the corpus; copies of a text are no further evidence.
     """
-    # distinct texts and contexts count, not copies
-    seen = occurrences.select("entity", "term", "key", "context").distinct()
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.select(_key(t).alias("key")).distinct().count()
-    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("key").alias("both"), F.countDistinct("context").alias("contexts")).filter((F.col("both") >= min_support) & (F.col("contexts") >= min_support))
-    entities = seen.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # a term is in at least the texts that have it near a value; where these alone are too many for the
-    # threshold, its other texts need no counting
-    near = seen.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("near"))
-    bound = F.col("both") * F.pow(F.lit(float(max(total, 1))) / F.col("with_entity"), F.lit(1 - generalise))
-    pairs = cut(pairs.join(entities, "entity").join(near, "term").filter(F.col("near") <= bound * (1 + 1e-9)).select("entity", "term", "both", "with_entity"))
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    unique = docs.select(_key(t).alias("key"), t.alias("text")).dropDuplicates(["key"])
-    each = unique.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+"))).alias("term"))
-    with_term = each.groupBy("term").agg(F.count("*").alias("with_term"))
-    joined = pairs.join(with_term, "term")
-    pe, pt, both = F.col("with_entity") / total, F.col("with_term") / total, F.col("both") / total
-    share = F.when(pe >= 1, F.lit(0.0)).otherwise(F.log(both / (pe * pt)) / -F.log(pe))
-    return joined.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    pairs, total = _candidates(docs, occurrences, text_col, min_support, generalise)
+    return _disclosing(pairs, total, min_support, generalise)
 
 
-def term_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``(doc, key, terms)``: per document the spans of its disclosing terms, with their disclosure."""
+def term_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """``(key, found)``: per text its disclosing terms, with their disclosure."""
     occurrences = cut(term_occurrences(docs, id_col, text_col))
-    bad = cut(disclosures(docs, occurrences, text_col, **kw))
-    hits = occurrences.join(maybe_broadcast(bad, bad.count()), ["entity", "term"])
-    each = hits.groupBy("doc", "key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return each.groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    pairs, total = _candidates(docs, occurrences, text_col, min_support, generalise)
+    pairs = cut(pairs)
+    bad = cut(_disclosing(pairs, total, min_support, generalise))
+    hits = pairs.select("key", "entity", "term").join(maybe_broadcast(bad, bad.count()), ["entity", "term"])
+    each = hits.groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    return each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("found"))
+
+
+def _found_spans(text: Column, found: Column) -> Column:
+    """All occurrences of the found terms in a text, outside its base spans."""
+    spans = [F.col(f"__{k}") for k in KINDS]
+
+    def of(f: Column) -> Column:
+        named = F.transform(_word_spans(F.coalesce(text, F.lit(""))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.try_element_at(f, w["value"]).alias("disclosure")))
+        return F.filter(named, lambda w: w["disclosure"].isNotNull() & _clear(w, spans))
+
+    return F.when(found.isNull(), F.array().cast("array<struct<start:int,end:int,disclosure:double>>")).otherwise(let(found, of))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **kw) -> DataFrame:
@@ -195,16 +216,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_t
     each; a null id is an id like others; no rows give no rows.
     """
     added = cut(term_spans(docs, id_col, text_col, **kw))
-    empty = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
     if keep_text:
-        base = with_base_spans(docs, text_col).withColumn("__key", _key(F.col(text_col)))
-        id_name, keep = id_col, [*docs.columns, *[f"__{k}" for k in KINDS]]
+        base, keep = docs, [F.col(c) for c in docs.columns]
     else:
-        base = docs.select(F.col(id_col).alias("__id"), _key(F.col(text_col)).alias("__key"), *[base_spans(F.col(text_col), k).alias(f"__{k}") for k in KINDS])
-        id_name, keep = "__id", ["__id", *[f"__{k}" for k in KINDS]]
-    named = maybe_broadcast(added.select(F.col("doc").alias("__doc"), F.col("key").alias("__key2"), F.col("terms").alias("__terms")), added.count())
-    joined = base.join(named, F.col(id_name).eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__key2")), "left")
-    return joined.select(*keep, F.coalesce("__terms", empty).alias("__terms"))
+        base, keep = docs.select(F.col(id_col).alias("__id"), F.col(text_col)), [F.col("__id")]
+    named = maybe_broadcast(added.select(F.col("key").alias("__key"), F.col("found").alias("__found")), added.count())
+    joined = with_base_spans(base.join(named, _key(F.col(text_col)) == F.col("__key"), "left"), text_col)
+    return joined.select(*keep, *[f"__{k}" for k in KINDS], _found_spans(F.col(text_col), F.col("__found")).alias("__terms"))
 
 
 def as_text(kinds: dict[str, Column]) -> Column:

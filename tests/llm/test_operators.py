@@ -367,6 +367,17 @@ def test_disclosing_terms(spark):
     assert "Zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
 
 
+def test_disclosing_terms_far_from_the_value(spark):
+    pad = "the agent case about nothing writes to note " * 5
+    rows = [(i, f"Zorblatt {i} here {pad} {'abcdefghij'[i] * 4} wrote to zed@corp.example.com about {'abcdefghij'[i] * 5} {pad} and ZORBLATT again") for i in range(6)]
+    rows += [(100 + i, f"{pad} {'klmnop'[i % 6] * 3} {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.term: r.disclosure for r in pii.disclosures(df, pii.term_occurrences(df)).collect()}
+    assert found["zorblatt"] == pytest.approx(1) and "agent" not in found
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("zorblatt" not in clean[i].lower() and "[EMAIL]" in clean[i] for i in range(6)) and clean[100] == rows[6][1]
+
+
 def test_sanitise_edges(edge, empty):
     got = pii.sanitise(edge)
     assert got.columns == edge.columns and sorted(map(str, got.collect())) == sorted(map(str, edge.collect()))
