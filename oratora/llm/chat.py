@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -86,6 +86,20 @@ def parse_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"body": [b for b, _, _ in rows], "quotes": [[{"level": lv, "hash": h} for lv, h in q] for _, q, _ in rows], "own": [o for _, _, o in rows]})
 
 
+#: Turns in one range; ranges are put in order by themselves, so a long conversation is dealt over tasks.
+RANGE = 1024
+
+
+def latest_before(rows: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, turn, latest)``: of ``rows`` of keys, turn and ``own`` (the turn or null), the greatest ``own`` below each turn."""
+    ranged = rows.filter(F.col("turn").isNotNull()).groupBy(*keys, "turn").agg(F.max("own").alias("own")).withColumn("range", F.floor(F.col("turn") / RANGE))
+    earlier = (Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*keys, "range").agg(F.max("own").alias("end"))
+    ends = ends.select(*keys, "range", F.max("end").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(*earlier)).alias("end"))
+    within = F.max("own").over(Window.partitionBy(*keys, "range").orderBy("turn").rowsBetween(*earlier))
+    return ranged.select(*keys, "range", "turn", within.alias("within")).join(ends, [*keys, "range"]).select(*keys, "turn", F.coalesce("within", "end").alias("latest"))
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The parsed messages, and ``(conv, turn, parent)`` for those that quote an earlier message.
 
@@ -130,9 +144,7 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     parsed, parents = link(messages, conv_col, turn_col, text_col)
     placed = cut(reply_order(parents))
-    turns = parsed.select("conv", "turn").distinct()
-    # the turn before without a window over a whole conversation: turns mostly count up by one
-    before = turns.select("conv", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
+    before = latest_before(parsed.filter("conv is not null").select("conv", "turn", F.col("turn").alias("own")), "conv").withColumnRenamed("latest", "previous")
     base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), parse_udf(F.col(text_col))["body"].alias("text"))
     joined = base.join(before, ["conv", "turn"], "left").join(placed, ["conv", "turn"], "left")
     root = F.coalesce("root", "turn")

@@ -188,6 +188,14 @@ def test_long_quote_chain(spark):
     assert got == {i: (0, i) for i in range(20)}
 
 
+def test_message_before_over_gaps(spark):
+    turns = [0, 2, 4, 5, 1022, 1024, 5000, 5001, -3]
+    rows = [(c, t, "user", "x") for c in (1, 2) for t in turns[c - 1 :]]
+    got = {(r.conv_id, r.turn): r.parent_turn for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = {(c, t): p for c in (1, 2) for ts in [sorted(turns[c - 1 :])] for p, t in zip([None, *ts], ts)}
+    assert got == want
+
+
 # --- 4 ---
 
 
