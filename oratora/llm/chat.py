@@ -17,13 +17,13 @@ send_by_value(__name__)
 QUOTE = re.compile(r"(?:[ \t]{0,3}>)+ ?")
 INTRO = re.compile(r"^(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|écrit|a écrit|escribió)\s*:\s*$", re.I)
 NOT_WORD = re.compile(r"[\W_]+")
-#: Normalised passages shorter than this are too common to tell an original by.
+#: Normalised passages shorter than this are common: their original is the latest message before, and longer ones count first.
 LEAST_CHARS = 12
 
 PARSED = StructType(
     [
         StructField("body", StringType()),
-        StructField("quotes", ArrayType(StructType([StructField("level", IntegerType()), StructField("hash", LongType())]))),
+        StructField("quotes", ArrayType(StructType([StructField("level", IntegerType()), StructField("hash", LongType()), StructField("rank", IntegerType())]))),
         StructField("own", ArrayType(LongType())),
     ]
 )
@@ -36,7 +36,7 @@ def normalise(passage: str) -> str:
 
 def passage_hash(passage: str) -> int | None:
     plain = normalise(passage)
-    return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63) if len(plain) >= LEAST_CHARS else None
+    return xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) - (1 << 63) if plain else None
 
 
 def _quote_level(line: str) -> tuple[int, str]:
@@ -44,22 +44,24 @@ def _quote_level(line: str) -> tuple[int, str]:
     return (m[0].count(">"), line[m.end() :]) if m else (0, line)
 
 
-def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The body without quotes, ``(level, hash)`` of quoted passages, and hashes of the body's own passages.
+def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, int, int]], list[int]]:
+    """The body without quotes, ``(level, hash, rank)`` of quoted passages, and hashes of the body's own passages.
 
     A passage is a run of lines of one quote level; it is hashed whole and line
-    by line, as a reply may quote a part.  A body is hashed whole, by paragraph
+    by line, as a reply may quote a part; rank 0 is a long passage, 1 a short
+    run, 2 a short line of a run.  A body is hashed whole, by paragraph
     and by line.  An introduction ("On ... wrote:") before a quote goes with it.
     """
     kept: list[str] = []
-    quotes: dict[tuple[int, int], None] = {}
+    quotes: dict[tuple[int, int], int] = {}
     run: list[str] = []
     level = 0
 
     def end_run() -> None:
-        for passage in (" ".join(run), *run):
+        for i, passage in enumerate((" ".join(run), *run)):
             if (h := passage_hash(passage)) is not None:
-                quotes[level, h] = None
+                rank = 0 if len(normalise(passage)) >= LEAST_CHARS else 1 if i == 0 else 2
+                quotes[level, h] = min(rank, quotes.get((level, h), rank))
 
     for line in (text or "").split("\n"):
         at, rest = _quote_level(line)
@@ -77,13 +79,13 @@ def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, int]], list[int
         end_run()
     body = "\n".join(kept).strip("\n")
     own = {h: None for passage in (body, *re.split(r"\n\s*\n", body), *body.split("\n")) if (h := passage_hash(passage)) is not None}
-    return body, list(quotes), list(own)
+    return body, [(*q, rank) for q, rank in quotes.items()], list(own)
 
 
 @F.pandas_udf(PARSED)
 def parse_udf(texts: pd.Series) -> pd.DataFrame:
     rows = [parse_quotes(x) for x in texts]
-    return pd.DataFrame({"body": [b for b, _, _ in rows], "quotes": [[{"level": lv, "hash": h} for lv, h in q] for _, q, _ in rows], "own": [o for _, _, o in rows]})
+    return pd.DataFrame({"body": [b for b, _, _ in rows], "quotes": [[{"level": lv, "hash": h, "rank": k} for lv, h, k in q] for _, q, _ in rows], "own": [o for _, _, o in rows]})
 
 
 #: Turns in one range; ranges are put in order by themselves, so a long conversation is dealt over tasks.
@@ -104,15 +106,21 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     """The parsed messages, and ``(conv, turn, parent)`` for those that quote an earlier message.
 
     The original of a passage is the first message of the conversation that
-    has it in its own words.  Of several originals the outermost quote's
-    holds, of those at one level the latest.
+    has it in its own words, of a short one the latest before the quote.  Of
+    several originals the outermost quote's holds, of those at one level a
+    long passage's, of these the latest.
     """
     parsed = cut(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), parse_udf(F.col(text_col)).alias("p")).select("conv", "turn", "p.*"))
-    quoted = parsed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash").distinct()
+    quoted = parsed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.rank").distinct()
     asked = quoted.select("conv", "hash").distinct()
-    first = parsed.select("conv", "turn", F.explode("own").alias("hash")).join(asked, ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("original"))
-    hits = quoted.join(first, ["conv", "hash"]).filter(F.col("original") < F.col("turn"))
-    parents = hits.groupBy("conv", "turn").agg(F.min(F.struct("level", (-F.col("original")).alias("late"))).alias("best"))
+    own = parsed.select("conv", "turn", F.explode("own").alias("hash")).join(asked, ["conv", "hash"], "left_semi")
+    first = own.groupBy("conv", "hash").agg(F.min("turn").alias("original"))
+    long = quoted.filter("rank = 0").join(first, ["conv", "hash"]).filter(F.col("original") < F.col("turn"))
+    short = quoted.filter("rank > 0")
+    places = own.select("conv", "hash", "turn", F.col("turn").alias("own")).unionByName(short.select("conv", "hash", "turn", F.lit(None).cast(own.schema["turn"].dataType).alias("own")))
+    latest = latest_before(places, "conv", "hash").filter("latest is not null").withColumnRenamed("latest", "original")
+    hits = long.unionByName(short.join(latest, ["conv", "hash", "turn"]), allowMissingColumns=True)
+    parents = hits.groupBy("conv", "turn").agg(F.min(F.struct("level", "rank", (-F.col("original")).alias("late"))).alias("best"))
     return parsed, parents.select("conv", "turn", (-F.col("best.late")).alias("parent"))
 
 

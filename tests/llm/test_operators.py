@@ -196,6 +196,23 @@ def test_message_before_over_gaps(spark):
     assert got == want
 
 
+def test_short_messages_are_linked(spark):
+    rows = [
+        (1, 0, "user", "Does it work?"),
+        (1, 1, "assistant", "Yes!"),
+        (1, 2, "user", "Why not?"),
+        (1, 3, "user", "Yes"),
+        (1, 5, "user", "And a long line that is told here\nYes"),
+        (1, 6, "user", "Something else"),
+        (1, 7, "user", "> yes\nFine"),
+        (1, 8, "user", "> Why not?\nBecause."),
+        (1, 9, "user", "yes"),
+        (1, 10, "user", "> And a long line that is told here\n> Yes\nSo it is"),
+    ]
+    got = {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[7] == (5, 5, 1) and got[8] == (2, 2, 1) and got[10] == (5, 5, 1)
+
+
 # --- 4 ---
 
 
