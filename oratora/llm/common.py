@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 from collections.abc import Callable
@@ -24,19 +25,25 @@ def send_by_value(module: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the folder that all executors share.
-
-    ``spark.checkpoint.dir`` is honoured; only where it is unset (tests) a
-    temporary folder is used.
-    """
+    """Materialise ``df`` with a reliable checkpoint in the folder that all executors share."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Honour ``spark.checkpoint.dir``; only a local master may do without and gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="oratora-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="oratora-checkpoint-"))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the engine's cleaner find the shuffles and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
