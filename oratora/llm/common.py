@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import sys
 import tempfile
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -40,10 +43,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="oratora-checkpoint-"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder among the checkpoints, removed when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder by Spark's own file systems; what can't be removed stays."""
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the engine may be gone by then
+        pass
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet beside the checkpoints and read again; nothing refers to its shuffles any more."""
+    path = path or scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the engine's cleaner find the shuffles and checkpoints that nothing refers to any more."""
+    """Let the engine's cleaner find the shuffles that nothing refers to any more; plans go one collection before them."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

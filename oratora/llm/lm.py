@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, cut, free_shuffles, send_by_value
+from .common import free_shuffles, send_by_value, stored
 
 send_by_value(__name__)
 
@@ -35,6 +36,10 @@ HOT_PAIRS, SAMPLE = 1_000, 64
 ROUNDS = 2
 #: Tokens of one bucket, about, and the fewest buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 128
+#: Occurrences of a word whose pairs go into one bucket, about.
+SPREAD_TOKENS = 100_000
+#: Bytes a token, blanks included, as a rough guide to the number of buckets.
+TOKEN_BYTES = 6
 #: Bytes of text that are taken at a time.
 CHUNK_BYTES = 6_000_000
 
@@ -139,14 +144,14 @@ class Known:
         return tf * np.where(known > 0, np.log(self.alpha * np.maximum(known, 1) / max(1, self.total)), floor)
 
 
-def distinct_pairs(texts: pa.Array, part: int = 0, rounds: int = 1) -> dict[str, np.ndarray]:
-    """Distinct pairs of each text that belong to a round.
+def distinct_pairs(encoded: tuple[np.ndarray, np.ndarray, np.ndarray], part: int = 0, rounds: int = 1) -> dict[str, np.ndarray]:
+    """Distinct pairs of each of the encoded texts that belong to a round.
 
     ``a`` and ``b`` are the hashes of both words, ``doc`` the text, ``tf``
     the pair's count in it, ``own_a`` and ``own_b`` those of its words, ``h``
     the pair's hash.
     """
-    codes, lengths, hashes = encode(texts)
+    codes, lengths, hashes = encoded
     size, n = len(hashes) + 1, len(lengths)
     hashes = np.append(hashes, START)
     w = np.insert(codes, np.cumsum(lengths) - lengths, size - 1)
@@ -159,7 +164,7 @@ def distinct_pairs(texts: pa.Array, part: int = 0, rounds: int = 1) -> dict[str,
         here = (h.view(np.uint64) >> np.uint64(7)) % np.uint64(rounds) == part
         at, h = at[here], h[here]
     code = (w[at] * size + w[at + 1]) * n + doc[at]
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     code = code[order]
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     tf = np.diff(np.append(first, len(code))).astype(np.int32)
@@ -171,38 +176,40 @@ def distinct_pairs(texts: pa.Array, part: int = 0, rounds: int = 1) -> dict[str,
 
 
 def packed(kind: int, bucket: np.ndarray, columns: dict[str, np.ndarray], keys: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row a bucket.  With ``keys`` the column ``doc`` points into them; each row gets the keys it needs."""
+    """One row a bucket, its columns compressed.  With ``keys`` the column ``doc`` points into them; each row gets the keys it needs."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = {k: v[order] for k, v in columns.items()}
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     rows: dict[str, list] = {name: [] for name in NAMES}
+    press = zstandard.ZstdCompressor(level=1).compress
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
         rows["kind"].append(kind)
         rows["bucket"].append(int(bucket[s]))
         for name in NAMES[2:-1]:
             if name == "doc" and keys is not None:
                 used, index = np.unique(columns["doc"][s:e], return_inverse=True)
-                rows["keys"].append(keys[used].tobytes())
-                rows["doc"].append(index.astype(np.int32).tobytes())
+                rows["keys"].append(press(keys[used].tobytes()))
+                rows["doc"].append(press(index.astype(np.int32).tobytes()))
             else:
-                rows[name].append(columns[name][s:e].tobytes() if name in columns else None)
+                rows[name].append(press(columns[name][s:e].tobytes()) if name in columns else None)
         if keys is None:
             rows["keys"].append(None)
     types = [pa.int32(), pa.int32()] + [pa.binary()] * (len(NAMES) - 2)
     return pa.RecordBatch.from_arrays([pa.array(rows[name], t) for name, t in zip(NAMES, types)], NAMES)
 
 
-def sums_row(keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Sums of documents, ``a`` the keys and ``b`` the values."""
-    return packed(SUMS, bucket_of(keys, buckets), {"a": keys, "b": values})
+def sums_row(keys: np.ndarray, values: np.ndarray, n_words: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sums of documents: ``a`` the keys, ``b`` the values, ``own_a`` the numbers of words."""
+    return packed(SUMS, bucket_of(keys, buckets), {"a": keys, "b": values, "own_a": n_words.astype(np.int64)})
 
 
 def unpacked(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     """The columns of all rows of a kind, end to end; ``doc`` points into ``keys``."""
     rows = table.filter(pc.equal(table.column("kind"), kind))
-    types = {"a": np.int64, "b": np.float64 if kind == SUMS else np.int64, "doc": np.int32, "tf": np.int32, "own_a": np.int32, "own_b": np.int32, "keys": np.int64}
-    out = {name: [np.frombuffer(x.as_buffer(), t) for x in rows.column(name) if x.is_valid] for name, t in types.items()}
+    types = {"a": np.int64, "b": np.float64 if kind == SUMS else np.int64, "doc": np.int32, "tf": np.int32, "own_a": np.int64 if kind == SUMS else np.int32, "own_b": np.int32, "keys": np.int64}
+    unpress = zstandard.ZstdDecompressor().decompress
+    out = {name: [np.frombuffer(unpress(x.as_buffer()), t) for x in rows.column(name) if x.is_valid] for name, t in types.items()}
     shift = 0
     for i, k in enumerate(out["keys"]):
         out["doc"][i] = out["doc"][i].astype(np.int64) + shift
@@ -210,9 +217,9 @@ def unpacked(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     return {name: np.concatenate(x) if x else np.zeros(0, types[name]) for name, x in out.items()}
 
 
-def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def summed(keys: np.ndarray, values: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found, index = np.unique(keys, return_inverse=True)
-    return found, np.bincount(index, values, len(found))
+    return found, np.bincount(index, values, len(found)), np.bincount(index, n_words, len(found)).astype(np.int64)
 
 
 def count(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -236,29 +243,32 @@ def count(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, buckets: int) ->
 def deal_pairs(batches: Iterator[pa.RecordBatch], known: Known, part: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Each chunk's pairs by bucket; frequent pairs are valued at once and leave as sums.
 
-    A pair is dealt by its first word, so that word's count is at hand; if
-    the word is frequent, it is known anyway and the whole pair deals.
+    A pair is dealt by its first word, so that word's count is at hand; the
+    pairs of a frequent word, whose count is known anyway, over several buckets.
     """
     with np.errstate(over="ignore"):
         for keys, texts in chunks(batches):
-            found = distinct_pairs(texts, part, rounds)
+            encoded = encode(texts)
+            found = distinct_pairs(encoded, part, rounds)
             n_pair = known.look(known.pairs, known.pair_counts, found["h"])
             hot = n_pair >= 0
-            if hot.any():
-                x = {k: v[hot] for k, v in found.items()}
-                elsewhere = n_pair[hot] - x["tf"]
-                n_a, n_b = known.word_counts(x["a"]), known.word_counts(x["b"])
-                value = np.where(elsewhere > 0, known.seen(x["tf"], np.maximum(elsewhere, 1), np.maximum(n_a, x["own_a"] + 1), x["own_a"]), known.backoff(x["tf"], n_b, x["own_b"]))
-                yield sums_row(*summed(keys[x["doc"]], value), known.buckets)
-                found = {k: v[~hot] for k, v in found.items()}
-            h = found.pop("h")
-            frequent = known.word_counts(found["a"]) >= 0
-            yield packed(PAIRS, bucket_of(np.where(frequent, h, found["a"]), known.buckets), found, keys)
+            x = {k: v[hot] for k, v in found.items()}
+            elsewhere = n_pair[hot] - x["tf"]
+            n_a, n_b = known.word_counts(x["a"]), known.word_counts(x["b"])
+            value = np.where(elsewhere > 0, known.seen(x["tf"], np.maximum(elsewhere, 1), np.maximum(n_a, x["own_a"] + 1), x["own_a"]), known.backoff(x["tf"], n_b, x["own_b"]))
+            yield sums_row(keys, np.bincount(x["doc"], value, len(keys)), encoded[1] * (part == 0), known.buckets)
+            found = {k: v[~hot] for k, v in found.items()}
+            spread = 1 + np.maximum(known.word_counts(found["a"]), 0) // SPREAD_TOKENS
+            bucket = bucket_of(found["a"], known.buckets).astype(np.int64) + (mixed(found.pop("h")) >> np.uint64(33)).astype(np.int64) % spread
+            yield packed(PAIRS, (bucket % known.buckets).astype(np.int32), found, keys)
 
 
 def meet(table: pa.Table, known: Known) -> Iterator[pa.RecordBatch]:
-    """A bucket's pairs against its counts: sums of documents, and what still needs the count of a rare word."""
+    """A bucket's pairs against its counts: sums of documents, and what still needs the count of a rare word.
+
+    Sums that come along pass through."""
     with np.errstate(over="ignore"):
+        yield from table.filter(pc.equal(table.column("kind"), SUMS)).to_batches()
         x, counts = unpacked(table, PAIRS), unpacked(table, COUNTS)
         h = pair_hash(x["a"], x["b"])
         _, index = np.unique(h, return_inverse=True)
@@ -274,7 +284,7 @@ def meet(table: pa.Table, known: Known) -> Iterator[pa.RecordBatch]:
         value[here] = known.backoff(x["tf"][here], n_b[here], x["own_b"][here])
         keys, doc = np.unique(x["keys"], return_inverse=True)
         if len(keys):
-            yield sums_row(keys, np.bincount(doc[x["doc"]], value, len(keys)), known.buckets)
+            yield sums_row(keys, np.bincount(doc[x["doc"]], value, len(keys)), np.zeros(len(keys)), known.buckets)
         more = ~seen & (n_b < 0)
         if more.any():
             yield packed(NEEDS, bucket_of(x["b"][more], known.buckets), {"a": x["b"][more], "doc": doc[x["doc"][more]].astype(np.int32), "tf": x["tf"][more], "own_a": x["own_b"][more]}, keys)
@@ -287,11 +297,11 @@ def look_up(table: pa.Table, known: Known) -> Iterator[pa.RecordBatch]:
         value = known.backoff(x["tf"], known.look(counts["a"], counts["b"], x["a"]), x["own_a"])
         keys = np.concatenate((x["keys"][x["doc"]], sums["a"]))
         if len(keys):
-            yield sums_row(*summed(keys, np.concatenate((value, sums["b"]))), known.buckets)
+            yield sums_row(*summed(keys, np.concatenate((value, sums["b"])), np.concatenate((np.zeros(len(value)), sums["own_a"]))), known.buckets)
 
 
 def _empty() -> pa.RecordBatch:
-    return packed(SUMS, np.zeros(0, np.int32), {"a": np.zeros(0, np.int64), "b": np.zeros(0)})
+    return packed(SUMS, np.zeros(0, np.int32), {"a": np.zeros(0, np.int64)})
 
 
 # --- scores ---------------------------------------------------------------------------------------------------
@@ -302,11 +312,6 @@ def doc_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def n_words(text: Column) -> Column:
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, BLANK_RUN))).cast("long")
-
-
 def count_table(texts: DataFrame, pairs: np.ndarray, buckets: int) -> DataFrame:
     """Packed counts of all words and of the given pairs, one row a bucket and kind, the hashes sorted."""
 
@@ -334,6 +339,17 @@ def _listed(counts: DataFrame, kind: int, least: float) -> list:
     return sorted((r.h, r.n) for r in counts.mapInArrow(pick, "h bigint, n bigint").collect())
 
 
+def _total(counts: DataFrame) -> int:
+    """Number of tokens, without start marks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = unpacked(pa.Table.from_batches([batch]), COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x["b"][x["a"] != START].sum())], pa.int64())], ["n"])
+
+    return counts.mapInArrow(add, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def frequent_pairs(texts: DataFrame, rows: int) -> np.ndarray:
     """Hashes of the pairs that many documents of a sample have; which they are changes no result.
 
@@ -343,7 +359,7 @@ def frequent_pairs(texts: DataFrame, rows: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for _, some in chunks(batches):
-                h, n = np.unique(distinct_pairs(some)["h"], return_counts=True)
+                h, n = np.unique(distinct_pairs(encode(some))["h"], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
     often = max(8, rows // SAMPLE // HOT_PAIRS)
@@ -368,11 +384,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
-    base = cut(keyed.select("id", "doc", n_words(F.col("text")).alias("n_words")))
-    n_rows, total = base.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    n_rows, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     texts = keyed.select("doc", "text")
-    buckets = max(LEAST_BUCKETS, (total + n_rows) // BUCKET_TOKENS)
-    counts = cut(count_table(texts, frequent_pairs(texts, n_rows), buckets))
+    buckets = max(LEAST_BUCKETS, size // TOKEN_BYTES // BUCKET_TOKENS)
+    counts = stored(count_table(texts, frequent_pairs(texts, n_rows), buckets))
+    total = _total(counts)
     hot, pair_counts = _listed(counts, COUNTS, max(1, total) / HOT_WORDS), _listed(counts, PAIR_COUNTS, 0)
     counts = counts.filter(F.col("kind") == COUNTS)
 
@@ -389,21 +405,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
 
     def add_up(table: pa.Table) -> pa.Table:
         x = unpacked(table, SUMS)
-        keys, values = summed(x["a"], x["b"])
-        return pa.table({"doc": keys, "v": values})
+        keys, values, n_words = summed(x["a"], x["b"], x["own_a"])
+        return pa.table({"doc": keys, "v": values, "n": n_words})
 
     sums = []
     for part in range(rounds):
         dealt = texts.mapInArrow(lambda batches: deal_pairs(batches, held.value, part, rounds), PACKED)
         met = by_bucket(dealt.unionByName(counts), meet)
-        sums.append(cut(by_bucket(met.unionByName(counts), look_up).groupBy("bucket").applyInArrow(add_up, "doc bigint, v double")))
+        sums.append(stored(by_bucket(met.unionByName(counts), look_up).groupBy("bucket").applyInArrow(add_up, "doc bigint, v double, n bigint")))
         del dealt, met
         free_shuffles(spark)
     each = sums[0]
     for more in sums[1:]:
         each = each.unionByName(more)
     # rows of one key were scored together: each gets its part
+    base = keyed.select("id", "doc")
     times = base.groupBy("doc").agg(F.count("*").alias("times"))
-    each = each.groupBy("doc").agg(F.sum("v").alias("v")).join(times, "doc").select("doc", (F.col("v") / F.col("times")).alias("v"))
-    log_score = F.round(F.coalesce("v", F.lit(0.0)), 6)
-    return base.join(cut(each), "doc", "left").select(F.col("id").alias(id_col), "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("v") / F.col("n_words"), 6)).alias("mean_log_score"))
+    each = each.groupBy("doc").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).join(times, "doc").select("doc", (F.col("v") / F.col("times")).alias("v"), (F.col("n") / F.col("times")).cast("long").alias("n"))
+    mean = F.when(F.col("n") > 0, F.round(F.col("v") / F.col("n"), 6))
+    return stored(base).join(stored(each), "doc").select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.round("v", 6).alias("log_score"), mean.alias("mean_log_score"))

@@ -450,7 +450,9 @@ def test_cascade_order_never_changes_a_verdict(docs):
 # --- 9 ---
 
 
-def test_scores(spark, docs):
+@pytest.mark.parametrize("sample", [lm.SAMPLE, 1])
+def test_scores(spark, docs, monkeypatch, sample):
+    monkeypatch.setattr(lm, "SAMPLE", sample)  # with all rows in the sample there are pairs that are counted first
     few = docs.select("doc_id", "text").limit(150).unionByName(spark.createDataFrame([(5000, None), (5001, "  "), (5002, "A b a"), (5002, "A b a"), (None, "zzzq the of")], "doc_id long, text string"))
     rows = few.collect()
     seqs = [[None, *(r.text or "").encode().lower().split()] for r in rows]
