@@ -82,10 +82,11 @@ ORACLE_SQL: dict[str, str] = {
  l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
  x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
  r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM x) WHERE c > 1),
+ d AS (SELECT doc_id, sum(len(list_distinct(w[i:i + 199]))) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, 200)) AS i FROM w) GROUP BY doc_id),
  c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
  m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals, len(l) AS lines, len(list_distinct(w)) AS distinct_words FROM l LEFT JOIN c USING (doc_id)),
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals, len(l) AS lines, d.n AS distinct_words FROM l LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)),
  b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols * 10 > n_words * 3 OR capitals * 2 > word_chars OR word_chars > 12 * n_words OR 2 * word_chars < 5 * n_words
-  OR (lines >= 4 AND 10 * (lines - n_dup_lines) < 5 * lines) OR 100 * distinct_words < 10 * least(n_words, 1000)) AS kept FROM b""",
+  OR (lines >= 4 AND 10 * (lines - n_dup_lines) < 5 * lines) OR 10 * distinct_words < n_words) AS kept FROM b""",
 }

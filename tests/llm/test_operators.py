@@ -438,6 +438,41 @@ def test_measures_of_odd_texts(spark, edge, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_repeats_behind_colliding_hashes(spark, monkeypatch):
+    """With next to no hash bits all windows collide, and repeats lie between others."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(60)))) for i in range(80)] + [(99, "a b c x y z a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = F.xxhash64
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: real(*c) % 2)
+    for r in df.select("doc_id", quality_rules.n_repeat_words(F.col("text")).alias("n")).collect():
+        assert r.n == brute_measures(dict(rows)[r.doc_id])[4]
+
+
+def test_verdicts_against_brute_force(docs, texts):
+    for r in quality_rules.judge(docs).collect():
+        t = texts[r.doc_id] or ""
+        n, chars, symbols, dup, repeat = brute_measures(t)
+        w, lines = WORDS.findall(t), [x for x in t.split("\n") if WORDS.search(x)]
+        distinct = sum(len(set(w[i : i + 200])) for i in range(0, n, 200))
+        bad = {
+            "too_short": n < 50,
+            "repetitive": 100 * repeat > 50 * n,
+            "symbols": 10 * symbols > 3 * n,
+            "capitals": 2 * sum(x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for x in t) > chars,
+            "word_length": chars > 12 * n or 2 * chars < 5 * n,
+            "repeated_lines": len(lines) >= 4 and 2 * len(set(lines)) < len(lines),
+            "few_words": 10 * distinct < n,
+        }
+        assert r.kept == (not any(bad.values())) and (r.kept or bad[r.rejected_by])
+
+
+def test_costs_are_measured(docs):
+    heavy = F.aggregate(F.sequence(F.lit(1), F.lit(20000)), F.length("text").cast("long"), lambda a, x: a + x * x) < 0
+    rated = {r.name: cost for r, _, cost in quality_rules.order_rules(docs, [quality_rules.Rule("light", F.length("text") < 0), quality_rules.Rule("heavy", heavy)])}
+    assert rated["heavy"] > 3 * rated["light"]
+
+
 def test_cascade_order_never_changes_a_verdict(docs):
     rules = quality_rules.production_rules(F.col("text"))
     ordered = quality_rules.order_rules(docs, rules)
