@@ -78,7 +78,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     found = cut(candidates(docs, items, id_col, text_col, item_col, item_text_col, threshold).filter("doc is not null and item is not null"))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("doc_text"))
     wanted = items.select(F.col(item_col).alias("item"), shingles(F.col(item_text_col)).alias("wanted"))
-    wanted = maybe_broadcast(wanted, items.count())
+    wanted = maybe_broadcast(wanted, wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0)
     # the document's shingles are made once a document, then held against each of its items
     by_doc = found.groupBy("doc").agg(F.collect_set("item").alias("their"))
     per_doc = texts.join(by_doc, "doc").select("doc", shingles(F.col("doc_text")).alias("has"), "their")

@@ -30,6 +30,9 @@ GENERALISE, REMOVE = 0.75, 0.95
 #: Code points on each side of a value that tell its contexts apart; terms are looked for in whole texts.
 CONTEXT = 64
 
+#: What stands between words.
+WORD_ENDS = "[^\\p{L}\\p{M}]+"
+
 BLOCK = 512
 
 
@@ -160,7 +163,7 @@ def _candidates(docs: DataFrame, occurrences: DataFrame, text_col: str, min_supp
     bound = F.col("with_entity") * F.pow(F.lit(float(max(total, 1))) / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
     highest = (most or 0) * (max(total, 1) / max(most or 1, 1)) ** (1 - generalise) * (1 + 1e-9)
     unique = docs.select(_key(t).alias("key"), t.alias("text")).dropDuplicates(["key"])
-    each = unique.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+"))).alias("term"))
+    each = unique.select(F.explode(F.array_distinct(F.split(F.lower("text"), WORD_ENDS))).alias("term"))
     with_term = cut(each.groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term").between(min_support, highest) & (F.length("term") >= 3)))
     valued = seen.join(maybe_broadcast(entities, n), "entity")
     termed = occurrences.join(valued.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("term")).join(maybe_broadcast(with_term, with_term.count()), "term")
@@ -187,14 +190,19 @@ def disclosures(docs: DataFrame, occurrences: DataFrame, text_col: str = "text",
 
 
 def term_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """``(key, found)``: per text its disclosing terms, with their disclosure."""
+    """``(key, found)``: per text the disclosing terms that it has, with their disclosure.
+
+    A term that gives a value away does so wherever it stands, so texts
+    without the value are looked at too.
+    """
     occurrences = cut(term_occurrences(docs, id_col, text_col))
-    pairs, total = _candidates(docs, occurrences, text_col, min_support, generalise)
-    pairs = cut(pairs)
-    bad = cut(_disclosing(pairs, total, min_support, generalise))
-    hits = pairs.select("key", "entity", "term").join(maybe_broadcast(bad, bad.count()), ["entity", "term"])
-    each = hits.groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
-    return each.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("found"))
+    bad = cut(disclosures(docs, occurrences, text_col, min_support, generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    n = bad.count()
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(_key(t).alias("key"), t.alias("text")) if n else docs.limit(0).select(_key(t).alias("key"), t.alias("text"))
+    each = texts.select("key", F.explode(F.array_distinct(F.split(F.lower("text"), WORD_ENDS))).alias("term"))
+    hits = each.join(maybe_broadcast(bad, n), "term").distinct()
+    return hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("found"))
 
 
 def _found_spans(text: Column, found: Column) -> Column:
@@ -213,14 +221,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_t
 
     With ``keep_text`` all columns of ``docs`` stay beside ``__email`` and so
     on.  Null and empty texts have no spans; repeated rows get the same spans
-    each; a null id is an id like others; no rows give no rows.
+    each; a null id is an id like others; columns of ``docs`` are ignored
+    (with ``keep_text`` kept), whatever their names; no rows give no rows.
     """
     added = cut(term_spans(docs, id_col, text_col, **kw))
     if keep_text:
         base, keep = docs, [F.col(c) for c in docs.columns]
     else:
         base, keep = docs.select(F.col(id_col).alias("__id"), F.col(text_col)), [F.col("__id")]
-    named = maybe_broadcast(added.select(F.col("key").alias("__key"), F.col("found").alias("__found")), added.count())
+    # all entries count, so that the size of what is broadcast is known
+    entries = added.agg(F.sum(F.size("found"))).first()[0] or 0
+    named = maybe_broadcast(added.select(F.col("key").alias("__key"), F.col("found").alias("__found")), entries)
     joined = with_base_spans(base.join(named, _key(F.col(text_col)) == F.col("__key"), "left"), text_col)
     return joined.select(*keep, *[f"__{k}" for k in KINDS], _found_spans(F.col(text_col), F.col("__found")).alias("__terms"))
 

@@ -403,6 +403,71 @@ def test_disclosing_terms_far_from_the_value(spark):
     assert all("zorblatt" not in clean[i].lower() and "[EMAIL]" in clean[i] for i in range(6)) and clean[100] == rows[6][1]
 
 
+def brute_terms(rows, min_support=3, generalise=pii.GENERALISE):
+    """Disclosing terms of all texts, from the definition."""
+    unique = sorted({t or "" for _, t in rows})
+    held, contexts, words, free = collections.defaultdict(set), {}, {}, {}
+    for k, t in enumerate(unique):
+        base = brute_spans(t)
+        for kind, a, b in base:
+            held[f"{kind}:{t[a:b].lower()}"].add(k)
+            contexts.setdefault((f"{kind}:{t[a:b].lower()}", k), set()).add((t[max(0, a - 64) : a], t[b : b + 64]))
+        words[k] = set(re.findall(r"[^\W\d_]+", t.lower()))
+        free[k] = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for _, a, b in base)}
+    n, df = len(unique), collections.Counter(w for ws in words.values() for w in ws)
+    found = {}
+    for e, ks in held.items():
+        if len(ks) < min_support:
+            continue
+        for term, both in collections.Counter(w for k in ks for w in free[k]).items():
+            at = set().union(*(contexts[e, k] for k in ks if term in free[k]))
+            if both >= min_support and len(at) >= min_support:
+                share = 0.0 if len(ks) == n else math.log(both / n / (len(ks) / n * df[term] / n)) / -math.log(len(ks) / n)
+                if share >= generalise:
+                    found[term] = max(share, found.get(term, share))
+    return found
+
+
+def brute_term_spans(t, terms):
+    base = brute_spans(t)
+    return [("term", m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t or "") if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in base)]
+
+
+def planted(texts, seed):
+    """The texts with values of people planted, beside an alias each; some aliases stand elsewhere, too."""
+    rnd = random.Random(seed)
+    rows = {i: t or "" for i, t in texts.items()}
+    ids = [i for i, t in rows.items() if len(t) > 300]
+
+    def put(i, what):
+        at = rnd.choice([m.start() for m in re.finditer(" ", rows[i])])
+        rows[i] = rows[i][:at] + f" {what}" + rows[i][at:]
+
+    aliases = []
+    for p in range(20):
+        alias = "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4))
+        aliases.append(alias)
+        value = rnd.choice([f"p{p}@mail.example.org", f"+1 (555) {200 + p}-{3000 + 7 * p}"])
+        for i in rnd.sample(ids, rnd.randint(4, 8)):
+            put(i, value)
+            put(i, rnd.choice([alias, alias.capitalize(), alias.upper()]))
+        for i in rnd.sample(ids, rnd.choice([0, 0, 1])):
+            put(i, alias)
+    return sorted(rows.items()), aliases
+
+
+def test_all_spans_with_planted_terms(spark, texts):
+    rows, aliases = planted(texts, 12)
+    terms = brute_terms(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find(df).collect():
+        t = dict(rows)[r["__id"]]
+        assert [(k, s.start, s.end) for k in pii.KINDS for s in r[f"__{k}"]] == brute_spans(t)
+        assert [("term", s.start, s.end) for s in r["__terms"]] == brute_term_spans(t, terms)
+    assert len(set(aliases) & set(terms)) / len(aliases) >= 0.9  # recall
+    assert len(set(aliases) & set(terms)) / len(terms) >= 0.9  # precision
+
+
 def test_sanitise_edges(edge, empty):
     got = pii.sanitise(edge)
     assert got.columns == edge.columns and sorted(map(str, got.collect())) == sorted(map(str, edge.collect()))
