@@ -90,6 +90,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that contain no item; columns stay, null ids stay."""
-    bad = cut(contained_items(docs, items, id_col, text_col, **kw).select(id_col).distinct())
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text contains no item; columns stay.
+
+    Texts decide, so rows with a null id or with unlike texts under one id are
+    judged each by its own.  Null and empty texts contain nothing; an empty table gives no rows.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumn("__key", key)
+    bad = cut(contained_items(keyed.select("__key", F.col(text_col)), items, "__key", text_col, **kw).select("__key").distinct())
+    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)

@@ -79,6 +79,12 @@ def ball_links(prints: DataFrame, radius: int = 2, fp: str = "fp") -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root)`` for each of the distinct fingerprints; fingerprints of one component share the root."""
+    roots = connected_components(ball_links(prints, radius), "a", "b")
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long) and ``component_id``.
 
@@ -86,23 +92,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints at ``radius`` or fewer differing bits.  Null and blank texts
     have fingerprint 0 and link like any other.  Rows may repeat and stay; a
     null id never becomes a component id, so a component of null ids has a
-    null one.  Other columns are ignored; an empty table gives no rows.
+    null one.  Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     printed = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     distinct = cut(printed.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(ball_links(distinct.select("fp"), radius), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    rooted = cut(_roots(distinct.select("fp"), radius).join(distinct, "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = cut(rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id"))
     return printed.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that open their near-duplicate group: the smallest id, once per id.
+    """One row of ``docs`` for each group of near-duplicates: that with the smallest id, null ids last.
 
-    Rows with a null id have no group to open and are kept as they are.
-    Columns and their order stay.
+    Groups are of texts: unlike texts under one id each stay, rows with a
+    null id are compared like all others.  Of rows with the group's smallest
+    id the one with the smallest hash of its columns stays, so it is the same in
+    every run; of rows that are equal throughout, one.  Columns and their order stay; no rows give no rows.
     """
-    first = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, radius).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    opened = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return opened.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    key = F.xxhash64(*[F.col(c) for c in docs.columns])
+    printed = cut(docs.select(F.col(id_col).alias("id"), key.alias("__key"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    lowest = cut(printed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key")).alias("low")))
+    rooted = _roots(lowest.select("fp"), radius).join(lowest, "fp")
+    first = cut(rooted.groupBy("root").agg(F.min("low").alias("low")).select("low.__key"))
+    return docs.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -106,6 +106,13 @@ def test_simhash_edges(edge, empty):
         simhash.ball_links(empty.selectExpr("doc_id as fp"), 3)
 
 
+def test_one_of_each_group_by_text(spark):
+    a, b = "some words that are quite long " * 9, "other things stand in this one " * 9
+    rows = [(1, a, 5), (1, b, 5), (2, a, 5), (None, b, 5), (None, "alone " * 9, 5), (None, "alone " * 9, 5), (3, "alone " * 9, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    assert sorted(map(tuple, simhash.keep_one_per_group(df).collect())) == sorted([(1, a, 5), (1, b, 5), (3, "alone " * 9, 7)])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
@@ -155,6 +162,13 @@ def test_decontamination_edges(spark, edge, empty):
     assert kept.columns == edge.columns and kept.count() == len(EDGE) - 3
 
 
+def test_contaminated_rows_go_by_their_texts(spark):
+    item = "what is the capital of that far away country"
+    rows = [(None, f"before {item} after"), (None, "clean"), (7, item), (7, "clean too"), (8, None)]
+    df, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, decontaminate.drop_contaminated(df, items).collect())) == sorted(map(str, df.filter("doc_id = 8 or text like 'clean%'").collect()))
+
+
 # --- 3 ---
 
 
