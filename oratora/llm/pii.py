@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, maybe_broadcast
+from .common import cut, let, maybe_broadcast, words
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -23,12 +23,15 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
-#: A protected value must be in so many documents, and a term in so many distinct contexts of it.
+#: A protected value must be in so many distinct texts, and a term in so many of these.
 MIN_SUPPORT = 3
 #: Share of a value's information that a term may disclose; from the second threshold on the term goes altogether.
 GENERALISE, REMOVE = 0.75, 0.95
-#: Code points on each side of a value that tell its contexts apart; terms are looked for in whole texts.
-CONTEXT = 64
+#: Share of a term's texts that must hold the value.
+CERTAIN = 0.5
+#: Near copies are one witness: of the texts that share a term and a value, so large a share must differ from the others,
+#: by MinHash values of their five-word shingles.  Copies at a similarity of 0.8 differ by 0.1 to 0.2.
+WITNESSES, SHINGLE, HASHES = 0.3, 5, 16
 
 #: What stands between words.
 WORD_ENDS = "[^\\p{L}\\p{M}]+"
@@ -132,61 +135,70 @@ def _clear(word: Column, spans: list[Column]) -> Column:
     return ~hit
 
 
+def _sketch(text: Column) -> Column:
+    """``HASHES`` MinHash values of the shingles of a text; fewer words are one shingle."""
+
+    def of(w: Column) -> Column:
+        last = F.greatest(F.size(w) - SHINGLE, F.lit(0))
+        hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(SHINGLE)), " ")))
+        return let(hashed, lambda h: F.array(*[F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(j)))) for j in range(HASHES)]))
+
+    return let(words(text), of)
+
+
 def term_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, entities, terms)`` of each distinct text with protected values: these, with the
-    stretch around each as context, and the distinct words of the whole text outside all base spans."""
+    """``(key, entities, terms, sketch)`` of each distinct text with protected values: these, the distinct
+    words of the whole text outside all base spans, and its MinHash values."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     spanned = docs.select(t.alias("text")).select("*", *[base_spans(F.col("text"), k).alias(f"__{k}") for k in KINDS])
+    spans = [F.col(f"__{k}") for k in KINDS]
 
     def entity(kind: str) -> Column:
-        def of(s: Column) -> Column:
-            left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            context = F.xxhash64(F.substring(F.col("text"), left + 1, s["start"] - left), F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT)))
-            return F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), context.alias("context"))
+        return F.transform(f"__{kind}", lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["value"])))
 
-        return F.transform(f"__{kind}", of)
+    held = spanned.filter(F.concat_ws("", *[F.size(x) for x in spans]) != "0" * len(spans))
+    found = F.filter(_word_spans(F.col("text")), lambda w: _clear(w, spans))
+    return held.select(
+        _key(F.col("text")).alias("key"),
+        F.array_distinct(F.concat(*[entity(k) for k in KINDS])).alias("entities"),
+        F.array_distinct(F.transform(found, lambda w: w["value"])).alias("terms"),
+        _sketch(F.col("text")).alias("sketch"),
+    ).dropDuplicates(["key"])
 
-    spans = [F.col(f"__{k}") for k in KINDS]
-    held = spanned.filter(F.size(F.concat(*[entity(k) for k in KINDS])) > 0)
-    words = F.filter(_word_spans(F.col("text")), lambda w: _clear(w, spans))
-    return held.select(_key(F.col("text")).alias("key"), F.array_distinct(F.concat(*[entity(k) for k in KINDS])).alias("entities"), F.array_distinct(F.transform(words, lambda w: w["value"])).alias("terms")).dropDuplicates(["key"])
 
+def disclosures(docs: DataFrame, occurrences: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """``(entity, term, disclosure)`` of the terms that give away too much.
 
-def _candidates(docs: DataFrame, occurrences: DataFrame, text_col: str, min_support: int, generalise: float) -> tuple[DataFrame, int]:
-    """``(key, entity, context, term, with_entity, with_term)`` of values and terms that may reach support and threshold, and the number of distinct texts."""
+    The disclosure is PMI(entity; term) over the information content of the
+    entity, ``log(p(e, t) / (p(e) p(t))) / -log p(e)``: 1 if every document
+    with the term has the value.  Probabilities are shares of the distinct
+    texts of the corpus.  Half of the term's texts at least must hold the
+    value, so that a large corpus doesn't make the measure lenient, and the texts
+    with both must be witnesses of their own, not near copies of each other.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.select(_key(t).alias("key")).distinct().count()
-    seen = occurrences.select("key", F.explode("entities").alias("e")).select("key", "e.entity", "e.context")
-    entities = cut(seen.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= min_support))
+    seen = occurrences.select("key", F.explode("entities").alias("entity"))
+    entities = cut(seen.groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= min_support))
     n, most = entities.agg(F.count("*"), F.max("with_entity")).first()
-    # both are at most with_entity: a term in more texts than this can't reach the threshold
-    bound = F.col("with_entity") * F.pow(F.lit(float(max(total, 1))) / F.col("with_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
-    highest = (most or 0) * (max(total, 1) / max(most or 1, 1)) ** (1 - generalise) * (1 + 1e-9)
+    # both are at most with_entity: a term in more texts than this can't be certain enough
     unique = docs.select(_key(t).alias("key"), t.alias("text")).dropDuplicates(["key"])
     each = unique.select(F.explode(F.array_distinct(F.split(F.lower("text"), WORD_ENDS))).alias("term"))
-    with_term = cut(each.groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term").between(min_support, highest) & (F.length("term") >= 3)))
+    if not n:
+        each = each.limit(0)
+    with_term = cut(each.groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term").between(min_support, (most or 0) / CERTAIN) & (F.length("term") >= 3)))
     valued = seen.join(maybe_broadcast(entities, n), "entity")
     termed = occurrences.join(valued.select("key").distinct(), "key", "left_semi").select("key", F.explode("terms").alias("term")).join(maybe_broadcast(with_term, with_term.count()), "term")
-    return valued.join(termed, "key").filter(F.col("with_term") <= bound), total
-
-
-def _disclosing(pairs: DataFrame, total: int, min_support: int, generalise: float) -> DataFrame:
-    counted = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.countDistinct("key").alias("n_both"), F.countDistinct("context").alias("contexts")).filter((F.col("n_both") >= min_support) & (F.col("contexts") >= min_support))
+    pairs = cut(valued.join(termed, "key").filter(F.col("with_term") <= F.col("with_entity") / CERTAIN).select("entity", "term", "with_entity", "with_term", "key"))
+    counted = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("n_both")).filter((F.col("n_both") >= min_support) & (F.col("n_both") >= F.col("with_term") * CERTAIN))
     pe, pt, both = F.col("with_entity") / total, F.col("with_term") / total, F.col("n_both") / total
     share = F.when(pe >= 1, F.lit(0.0)).otherwise(F.log(both / (pe * pt)) / -F.log(pe))
-    return counted.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise)
-
-
-def disclosures(docs: DataFrame, occurrences: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """``(entity, term, disclosure)`` of the terms that give away too much.
-
-    The disclosure is PMI(entity; term) over the information content of the
-    entity, ``log(p(e, t) / (p(e) p(t))) / -log p(e)``: 1 if every document
-    with the term has the value.  Probabilities are shares of the distinct
-    texts of the corpus; copies of a text are no further evidence.
-    """
-    pairs, total = _candidates(docs, occurrences, text_col, min_support, generalise)
-    return _disclosing(pairs, total, min_support, generalise)
+    telling = cut(counted.select("entity", "term", "n_both", share.alias("disclosure")).filter(F.col("disclosure") >= generalise))
+    sketched = pairs.select("entity", "term", "key").join(telling.select("entity", "term"), ["entity", "term"]).join(occurrences.select("key", "sketch"), "key")
+    values = sketched.select("entity", "term", F.posexplode("sketch").alias("j", "h")).distinct()
+    differ = values.groupBy("entity", "term").agg(F.count("*").alias("n_values"))
+    witnessed = (F.col("n_values") / HASHES - 1) / (F.col("n_both") - 1) >= WITNESSES
+    return telling.join(differ, ["entity", "term"]).filter(witnessed).select("entity", "term", "disclosure")
 
 
 def term_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -417,15 +418,24 @@ def test_disclosing_terms_far_from_the_value(spark):
     assert all("zorblatt" not in clean[i].lower() and "[EMAIL]" in clean[i] for i in range(6)) and clean[100] == rows[6][1]
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_sketch(t):
+    w = WORDS.findall(t)
+    hs = [xxhash.xxh64_digest(" ".join(w[i : i + 5]).encode(), 42)[::-1] for i in range(max(1, len(w) - 4))]
+    return [min(signed(xxhash.xxh64_intdigest(struct.pack("<i", j), xxhash.xxh64_intdigest(h, 42))) for h in hs) for j in range(pii.HASHES)]
+
+
 def brute_terms(rows, min_support=3, generalise=pii.GENERALISE):
     """Disclosing terms of all texts, from the definition."""
     unique = sorted({t or "" for _, t in rows})
-    held, contexts, words, free = collections.defaultdict(set), {}, {}, {}
+    held, words, free = collections.defaultdict(set), {}, {}
     for k, t in enumerate(unique):
         base = brute_spans(t)
         for kind, a, b in base:
             held[f"{kind}:{t[a:b].lower()}"].add(k)
-            contexts.setdefault((f"{kind}:{t[a:b].lower()}", k), set()).add((t[max(0, a - 64) : a], t[b : b + 64]))
         words[k] = set(re.findall(r"[^\W\d_]+", t.lower()))
         free[k] = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for _, a, b in base)}
     n, df = len(unique), collections.Counter(w for ws in words.values() for w in ws)
@@ -434,10 +444,12 @@ def brute_terms(rows, min_support=3, generalise=pii.GENERALISE):
         if len(ks) < min_support:
             continue
         for term, both in collections.Counter(w for k in ks for w in free[k]).items():
-            at = set().union(*(contexts[e, k] for k in ks if term in free[k]))
-            if both >= min_support and len(at) >= min_support:
-                share = 0.0 if len(ks) == n else math.log(both / n / (len(ks) / n * df[term] / n)) / -math.log(len(ks) / n)
-                if share >= generalise:
+            if both < min_support or 2 * both < df[term]:
+                continue
+            share = 0.0 if len(ks) == n else math.log(both / n / (len(ks) / n * df[term] / n)) / -math.log(len(ks) / n)
+            if share >= generalise:
+                values = [len(set(x)) for x in zip(*[brute_sketch(unique[k]) for k in ks if term in free[k]])]
+                if (sum(values) / len(values) - 1) / (both - 1) >= pii.WITNESSES:
                     found[term] = max(share, found.get(term, share))
     return found
 
@@ -482,6 +494,19 @@ def test_all_spans_with_planted_terms(spark, texts):
     assert len(set(aliases) & set(terms)) / len(terms) >= 0.9  # precision
 
 
+def test_near_copies_are_one_witness(spark, texts):
+    """Copies of a text with a value, each with some words changed, say nothing about the words that they share."""
+    rnd = random.Random(3)
+    rows = sorted((i, t or "") for i, t in texts.items())
+    w = next(t for _, t in rows if len(t.split()) > 250).split()
+    for c in range(7):
+        copy = ["someone@mail.example.org", *w]
+        for at in rnd.sample(range(1, len(copy)), 4):
+            copy[at] = f"word{'abcdefg'[c]}"
+        rows.append((90_000 + c, " ".join(copy)))
+    assert not [t for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("__id >= 90000").collect() for t in r["__terms"]]
+
+
 def test_sanitise_edges(edge, empty):
     got = pii.sanitise(edge)
     assert got.columns == edge.columns and sorted(map(str, got.collect())) == sorted(map(str, edge.collect()))
