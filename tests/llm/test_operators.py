@@ -327,6 +327,55 @@ def test_main_text_is_chosen_by_scores_on_pages_with_an_article():
     assert html_text.main_text(page).split("\n") == [LONG.strip(), "Head", "With a link."]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # marked words in values, in names of other attributes and as a part of a longer name
+        (f"<body><div><h1>T</h1><p title='the hidden valley'>{LONG}</p><p aria-hidden=false>{LONG}</p><p id=the-other-side>{LONG}</p><p data-role=menu>{LONG}</p></div></body>", ["T"] + [LONG.strip()] * 4),
+        # a long paragraph with a name that alone says little stays, a short one goes
+        (f"<body><div><p>{LONG}</p><p class=notice>{LONG}</p><p>{LONG}</p><div class=notice>Buy now</div></div></body>", [LONG.strip()] * 3),
+        # containers of one tag without names: links and the footer go, the heading stays
+        (f"<body><div id=content><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div><a href=x>a</a> <a href=y>b</a></div><div><p>Copyright 2020</p></div></body>", ["T", LONG.strip(), LONG.strip()]),
+        (f"<body><div><div><p>Site of ours</p><p>and yours</p></div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div><p>Copyright 2020</p><p>All ours</p></div></div></body>", ["T", LONG.strip(), LONG.strip()]),
+        # reader comments are long and have marks, but their names speak against them
+        (f"<body><div class=post><h1>T</h1><p>{LONG}</p></div><div id=comments><div><p>{LONG}</p></div></div></body>", ["T", LONG.strip()]),
+        # names that all text has speak against none of it
+        (f"<body class=has-sidebar><div class=menu-page><h1>T</h1><p>{LONG}</p><p>Short.</p></div></body>", ["T", LONG.strip(), "Short."]),
+        (f"<body><div hidden><p>{LONG}</p></div><div style='display: none'>{LONG}</div><p>{LONG}</p></body>", [LONG.strip()]),
+    ],
+)
+def test_main_text_without_an_article(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_main_text_comes_from_the_paths(monkeypatch, spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").limit(20).collect()]
+    on = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "content_paths", lambda nodes, factors: set())
+    assert all(on) and not any(html_text.main_text(p) for p in pages)
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(n, tag, close=True):
+        page = f"<{tag}>x" * n + "end" + (f"</{tag}>" * n if close else "")
+        began = time.perf_counter()
+        text = html_text.main_text(page)
+        return time.perf_counter() - began, text
+
+    for tag, close in (("div", True), ("div", False), ("b", True), ("li", False), ("p", False), ("ul", True)):
+        seconds(1000, tag, close)
+        few, many = seconds(2000, tag, close)[0], seconds(20_000, tag, close)
+        assert many[1].endswith("end") and many[0] < 40 * max(few, 0.01)
+
+
+def test_html_edges(spark):
+    df = spark.createDataFrame([(1, None, "kept?"), (1, None, "kept?"), (2, "<p>x", None)], "page_id long, html string, text string")
+    assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, None, ""), (1, None, ""), (2, "<p>x", "x")]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_main_text_of_the_table(spark, sf_dir):
     import html
 
