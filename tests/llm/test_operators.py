@@ -258,6 +258,19 @@ def test_repeats_after_a_varied_opening_are_seen():
     assert [classifier.junk_votes(t)[4] for t in (clean, opened)] == [0, 1] and style == [10, 0]
 
 
+def test_weak_labels_alone(spark):
+    """Without any given label the labellers carry the scorers, where they apply."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = classifier.classify(docs).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    clean = [r for r in got if r.quality == 1 and r.toxic == 0]
+    junk = [r for r in got if r.quality == 0]
+    toxic = [r for r in got if r.toxic == 1 and r.lang == "en"]
+    assert sum(r.kept for r in clean) / len(clean) > 0.97
+    assert sum(not r.kept for r in junk) / len(junk) > 0.95
+    assert sum(not r.kept for r in toxic) / len(toxic) > 0.95
+
+
 def test_classifier_on_held_out_labels(spark):
     """Scorers fitted on half of the labels, held against the other half."""
     d = "/root/testdata/sf0.1"
@@ -270,6 +283,80 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(r.kept for r in clean) / len(clean) > 0.97
     assert sum(not r.kept for r in junk) / len(junk) > 0.85
     assert sum(not r.kept for r in toxic) / len(toxic) > 0.75
+    print([sum(r.kept == k for r in x) / len(x) for x, k in ((clean, True), (junk, False), (toxic, False))])
+
+
+def brute_em(rows, telling):
+    """Expectation-maximisation row by row, with the definition's prior counts."""
+    votes = np.array([[2 if v is None else v for v in r] for r in rows])
+    n, k = votes.shape
+    given = (votes[:, -1] < 2).sum()
+    y = np.where(votes[:, -1] < 2, np.where(votes[:, -1] == 1, 0.99, 0.01), np.where((votes == 1).any(1), 0.9, 0.1))
+    for _ in range(200):
+        prior = min(max((y.sum() + 1) / (n + 10), 1e-4), 1 - 1e-4)
+        log = np.tile(np.log([1 - prior, prior]), (n, 1))
+        for j in range(k):
+            add = {0: (2, 0.5), 1: (0.5, 2)} | ({2: (1, 1)} if telling else {})
+            if j == k - 1:
+                right, wrong = 0.99 * given + 1, 0.01 * given + 0.1
+                add = {0: (right, wrong), 1: (wrong, right)}
+            for c, weight in ((0, 1 - y), (1, y)):
+                sums = {v: add[v][c] + weight[votes[:, j] == v].sum() for v in add}
+                for v in sums:
+                    log[votes[:, j] == v, c] += math.log(sums[v] / sum(sums.values()))
+        new = 1 / (1 + np.exp(np.minimum(700, log[:, 0] - log[:, 1])))
+        moved, y = np.abs(new - y).max(), new
+        if moved < 1e-6:
+            break
+    return y
+
+
+def test_classifier_against_brute_force(spark, docs, texts, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    given = {r.doc_id: r for r in labels.collect()}
+    scorers = classifier.train(docs, labels)
+    got = {r.doc_id: r for r in classifier.classify(docs, labels, scorers=scorers).collect()}
+    ids = sorted(texts)
+    for s, votes, telling in zip(scorers, (classifier.junk_votes, classifier.toxic_votes), (True, False)):
+        own = [votes(texts[i] or "") for i in ids]
+        known = [None if i not in given else 1 - given[i].quality if s.head == "junk" else given[i].toxic for i in ids]
+        rows = [(*v, g) for v, g in zip(own, known)]
+        assert s.patterns == collections.Counter(rows)
+        assert [s.labels.posterior(r) for r in rows] == pytest.approx(list(brute_em(rows, telling)), abs=1e-4)
+        for i, v in zip(ids, own):
+            words, style = classifier.features(texts[i], classifier.WordIndex())
+            dense = np.zeros(classifier.SIZE + 1)
+            np.add.at(dense, words, 1 / math.sqrt(max(1, len(words))))
+            dense[[*style, -1]] += 1
+            assert got[i][f"{s.head}_score"] == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, dense @ s.weights)))), abs=2e-6)
+            assert got[i][f"{s.head}_label"] == pytest.approx(s.labels.posterior((*v, None)), abs=1e-6)
+    assert all(r.kept == (max(r.junk_score, r.toxic_score) < classifier.THRESHOLD) for r in got.values())
+
+
+def test_votes():
+    prose = "The cat sat on the mat, and that was the end of it. A dog is with us for one day, said my old friend, to the others. "
+    assert classifier.junk_votes(prose) == (None, None, None, None, 0, 0, 0, 0)
+    assert classifier.junk_votes(prose.replace(" ", "### "))[0] == 1 and classifier.junk_votes(prose.replace(" ", "### "))[5] == 1
+    assert classifier.junk_votes(prose.upper())[1] == 1 and classifier.junk_votes(prose.upper())[6] == 1
+    assert classifier.junk_votes(" | ".join(prose.split()))[2] == 1
+    assert classifier.junk_votes("echo echo " * 50)[3:5] == (1, 1) and classifier.junk_votes("no stops at all " * 9)[7] == 1
+    assert classifier.toxic_votes(prose) == (0, 0, 0) and classifier.toxic_votes(prose + "idiot") == (1, 0, 0)
+    assert classifier.toxic_votes("Das ist ein Satz") == (None,) * 3 and classifier.toxic_votes("") == (None,) * 3
+
+
+def test_fit_sample_is_bounded(spark, monkeypatch):
+    """Copies of one text under one id are drawn one by one, and never more rows than asked for come."""
+    rows = [(7, "same text again and again")] * 3000 + [(i, f"text {i} is a little longer, and it ends.") for i in range(300)]
+    seen = []
+    monkeypatch.setattr(classifier, "cut", lambda df, real=classifier.cut: seen.append(real(df)) or seen[-1])
+    classifier.train(spark.createDataFrame(rows, "doc_id long, text string"), fit_rows=200)
+    assert [x.count() for x in seen] == [200, 200] and seen[1].filter("__text like 'same%'").count() > 50
+
+
+def test_draw_shares():
+    shares = classifier.draw_shares([5, 100, 1000], 60)
+    assert shares[0] == 1 and sum(s * n for s, n in zip(shares, [5, 100, 1000])) == pytest.approx(60)
+    assert classifier.draw_shares([5, 6], 60) == [1, 1]
 
 
 def test_classifier_edges(edge, empty):
