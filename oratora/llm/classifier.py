@@ -6,6 +6,8 @@ import math
 import re
 import sys
 from dataclasses import dataclass
+from functools import cached_property
+from operator import eq
 from types import ModuleType
 
 import numpy as np
@@ -36,12 +38,8 @@ INSULTS = (
 Votes = tuple[int | None, ...]
 """One entry a labeller: 1 for the class, 0 against it, None to abstain."""
 
-NOT_CAPITAL = re.compile(r"[^A-Z]+")
 INSULT = [frozenset(x) for x in INSULTS]
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words of prose: letters, and one mark at the end at most; and words that begin with a small letter.
-PLAIN = re.compile(r"(?<!\S)[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:?!]?(?!\S)")
-SMALL = re.compile(r"(?<!\S)(?![A-ZÀ-ÖØ-Þ])[^\W\d_]")
 #: Words by whose share the lists of insults know their language. Fixed values.
 ENGLISH = frozenset("the and of to is that with for was".split())
 #: Words in which repeats are looked for at once, so that long texts compare with short ones.
@@ -53,10 +51,55 @@ def distinct_share(w: list[str]) -> float:
     return sum(len(set(w[i : i + WINDOW])) for i in range(0, len(w), WINDOW)) / max(1, len(w))
 
 
-def junk_votes(text: str) -> Votes:
+class Reading:
+    """What labellers and features look at in a text, each made once."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def words(self) -> list[str]:
+        return self.text.split()
+
+    @cached_property
+    def letters(self) -> list[str]:
+        """Lower-cased runs of letters."""
+        return LETTERS.findall(self.text.lower())
+
+    @cached_property
+    def data(self) -> bytes:
+        return self.text.encode("utf-8", "surrogatepass")
+
+    def count(self, chars: str) -> int:
+        """How many of the text's characters are among some of ASCII."""
+        return len(self.data) - len(self.data.translate(None, chars.encode()))
+
+    @cached_property
+    def symbols(self) -> int:
+        return self.count(SYMBOLS)
+
+    @cached_property
+    def marks(self) -> int:
+        return self.count("!?|")
+
+    @cached_property
+    def stops(self) -> int:
+        return self.count(".,;:")
+
+    @cached_property
+    def capitals(self) -> int:
+        return self.count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _read(text: str | Reading) -> Reading:
+    return text if isinstance(text, Reading) else Reading(text)
+
+
+def junk_votes(text: str | Reading) -> Votes:
     """Overlapping signs of text that isn't prose: symbols, capitals, marks and echoes, which abstain where there
-    is none; and few distinct words, few plain words, few small letters, few stops, which also vote against."""
-    w = text.split()
+    is none; and few distinct words, few words of letters (and a stop), few in small letters, few stops, which also vote against."""
+    r = _read(text)
+    w = r.words
     n, chars = max(1, len(w)), max(1, sum(map(len, w)))
 
     def sign(share: float, most: float) -> int | None:
@@ -66,20 +109,20 @@ def junk_votes(text: str) -> Votes:
         return 1 if share < bad else 0 if share > good else None
 
     return (
-        sign(sum(map(text.count, SYMBOLS)) / n, 0.25),
-        sign(len(NOT_CAPITAL.sub("", text)) / chars, 0.5),
-        sign(sum(map(text.count, "!?|")) / n, 0.25),
-        sign(sum(map(str.__eq__, w, w[1:])) / n, 0.3),
+        sign(r.symbols / n, 0.25),
+        sign(r.capitals / chars, 0.5),
+        sign(r.marks / n, 0.25),
+        sign(sum(map(eq, w, w[1:])) / n, 0.3),
         measure(distinct_share(w), 0.25, 0.4),
-        measure(len(PLAIN.findall(text)) / n, 0.6, 0.85),
-        measure(len(SMALL.findall(text)) / n, 0.35, 0.6),
-        measure(sum(map(text.count, ".,;:")) / n, 0.02, 0.04),
+        measure((sum(map(str.isalpha, w)) + r.stops) / n, 0.6, 0.85),
+        measure(sum(map(str.islower, w)) / n, 0.35, 0.6),
+        measure(r.stops / n, 0.02, 0.04),
     )
 
 
-def toxic_votes(text: str) -> Votes:
+def toxic_votes(text: str | Reading) -> Votes:
     """Lists of insults, each alone a weak sign; in texts that aren't English they don't apply."""
-    words = LETTERS.findall(text.lower())
+    words = _read(text).letters
     found = set(words)
     against = 0 if words and sum(map(ENGLISH.__contains__, words)) >= 0.1 * len(words) else None
     return tuple(against if found.isdisjoint(x) else 1 for x in INSULT)
@@ -161,7 +204,7 @@ def _code(votes: tuple) -> int:
 @F.pandas_udf(ArrayType(IntegerType()))
 def vote_codes(texts: pd.Series) -> pd.Series:
     """The votes of each head as one number, base three."""
-    return pd.Series([[_code(votes(x or "")) for votes in HEADS.values()] for x in texts])
+    return pd.Series([[_code(votes(r)) for votes in HEADS.values()] for r in map(Reading, texts.fillna(""))])
 
 
 def _decode(code: int, k: int) -> tuple:
@@ -171,7 +214,6 @@ def _decode(code: int, k: int) -> tuple:
 
 # --- features -------------------------------------------------------------------------------------------------
 
-WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
 LEVELS = 11
 STYLES = ("symbols", "marks", "capitals", "distinct", "stops")
@@ -191,26 +233,21 @@ class WordIndex(dict):
         return value
 
 
-def features(text: str | None, index: WordIndex) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | Reading | None, index: WordIndex) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of the words and their first letters (repeats included), and one style feature per kind."""
-    text = text or ""
-    found = WORD.findall(text.lower())
+    r = _read(text or "")
+    found = r.letters
     packed = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
     n, chars = max(1, len(found)), max(1, sum(map(len, found)))
-    shares = (
-        sum(map(text.count, SYMBOLS)) / n,
-        sum(map(text.count, "!?|")) / n,
-        len(NOT_CAPITAL.sub("", text)) / chars,
-        distinct_share(found),
-        sum(map(text.count, ".,;:")) / n,
-    )
+    shares = (r.symbols / n, r.marks / n, r.capitals / chars, distinct_share(found), r.stops / n)
     style = np.array([STYLE_AT + i * LEVELS + min(LEVELS - 1, int(10 * v)) for i, v in enumerate(shares)], np.int64)
     return np.concatenate((packed >> 20, packed & LOW)), style
 
 
-def margin(weights: np.ndarray, words: np.ndarray, style: np.ndarray) -> np.ndarray:
+def margin(weights: np.ndarray, words: np.ndarray, style: np.ndarray) -> list[float]:
     """One margin a head: bias, words over the root of their number, style."""
-    return weights[:, -1] + weights[:, words].sum(axis=1) / math.sqrt(max(1, len(words))) + weights[:, style].sum(axis=1)
+    root = math.sqrt(max(1, len(words)))
+    return [float(w[-1] + np.take(w, words).sum() / root + np.take(w, style).sum()) for w in weights]
 
 
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, row_weights: np.ndarray, rounds: int = 150, sparsity: float = 2e-3, least_rows: int = 20) -> np.ndarray:
@@ -366,11 +403,18 @@ def judged_column(text: Column, scorers: list[Scorer]) -> Column:
     def judge(texts: pd.Series) -> pd.Series:
         kept = sys.modules.setdefault("_oratora_worker", ModuleType("_oratora_worker"))
         index = kept.__dict__.setdefault("word_index", WordIndex())
+        labels: dict[tuple, float] = {}
+
+        def label(s: Scorer, votes: tuple) -> float:
+            key = (s.head, votes)
+            if key not in labels:
+                labels[key] = s.label(votes)
+            return labels[key]
 
-        def one(x: str | None) -> list[float]:
-            scores = 1 / (1 + np.exp(-np.clip(margin(weights, *features(x, index)), -30, 30)))
-            return [v for s, score in zip(scorers, scores.tolist()) for v in (s.label(HEADS[s.head](x or "")), score)]
+        def one(r: Reading) -> list[float]:
+            scores = [1 / (1 + math.exp(-min(30.0, max(-30.0, m)))) for m in margin(weights, *features(r, index))]
+            return [v for s, score in zip(scorers, scores) for v in (label(s, HEADS[s.head](r)), score)]
 
-        return pd.Series([one(x) for x in texts])
+        return pd.Series([one(r) for r in map(Reading, texts.fillna(""))])
 
     return judge(text)
