@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -15,7 +15,8 @@ from .common import cut, send_by_value
 send_by_value(__name__)
 
 QUOTE = re.compile(r"(?:[ \t]{0,3}>)+ ?")
-INTRO = re.compile(r"^(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|écrit|a écrit|escribió)\s*:\s*$", re.I)
+#: A line that introduces a quote: it ends in a colon, and has a date, a time, an address or a verb of telling.
+INTRO = re.compile(r"^(?=.{1,300}:\s*$)(?:.*[\d@<].*|.*\b(?:wrote|writes|said|says|schrieb|schreibt|sagte|écrit|dit|escribió|dijo|scrisse|ha scritto|escreveu)\b.*)$", re.I)
 NOT_WORD = re.compile(r"[\W_]+")
 #: Normalised passages shorter than this are common: their original is the latest message before, and longer ones count first.
 LEAST_CHARS = 12
@@ -50,7 +51,7 @@ def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, int, int]], lis
     A passage is a run of lines of one quote level; it is hashed whole and line
     by line, as a reply may quote a part; rank 0 is a long passage, 1 a short
     run, 2 a short line of a run.  A body is hashed whole, by paragraph
-    and by line.  An introduction ("On ... wrote:") before a quote goes with it.
+    and by line.  An introduction ("On ... wrote:") right before a quote goes with it.
     """
     kept: list[str] = []
     quotes: dict[tuple[int, int], int] = {}
@@ -70,7 +71,7 @@ def parse_quotes(text: str | None) -> tuple[str, list[tuple[int, int, int]], lis
                 end_run()
             run, level = [], at
         if at:
-            if kept and INTRO.match(kept[-1].strip()):
+            if kept and len(run) == 0 and INTRO.match(kept[-1].strip()):
                 kept.pop()
             run.append(rest)
         else:
@@ -102,15 +103,15 @@ def latest_before(rows: DataFrame, *keys: str) -> DataFrame:
     return ranged.select(*keys, "range", "turn", within.alias("within")).join(ends, [*keys, "range"]).select(*keys, "turn", F.coalesce("within", "end").alias("latest"))
 
 
-def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The parsed messages, and ``(conv, turn, parent)`` for those that quote an earlier message.
+def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> tuple[DataFrame, DataFrame]:
+    """The parsed messages, each once, and ``(conv, turn, parent)`` for those that quote an earlier message.
 
     The original of a passage is the first message of the conversation that
     has it in its own words, of a short one the latest before the quote.  Of
     several originals the outermost quote's holds, of those at one level a
     long passage's, of these the latest.
     """
-    parsed = cut(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), parse_udf(F.col(text_col)).alias("p")).select("conv", "turn", "p.*"))
+    parsed = cut(messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), parse_udf(F.col(text_col)).alias("p")).select("conv", "turn", "role", "p.*"))
     quoted = parsed.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.level", "q.hash", "q.rank").distinct()
     asked = quoted.select("conv", "hash").distinct()
     own = parsed.select("conv", "turn", F.explode("own").alias("hash")).join(asked, ["conv", "hash"], "left_semi")
@@ -135,35 +136,47 @@ def reply_order(parents: DataFrame) -> DataFrame:
         state = state.drop("moved")
 
 
+def _in_order(number: Column) -> Column:
+    """A long as text that sorts as the number does."""
+    return F.lpad(F.hex(number.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
 def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conversation, turn, role, ``text`` without quotes, and its place in reply order.
 
-    ``parent_turn`` is the message that it answers (quoted, else the one
-    before in the conversation, else null), ``root_turn`` opens its thread,
-    ``depth`` counts the quotes up to there, and ``reply_key`` sorts a
-    conversation: threads by their root, in them by turn.  ``line`` is the turn
-    in chat form.  Rows stay apart, so a conversation of any size is never
-    gathered in one task.
+    ``quoted_turn`` is the message that it quotes, or null.  Threads are made
+    of quotes: ``root_turn`` opens the thread, ``depth`` counts the quotes up to
+    there, and ``reply_key`` sorts a conversation: threads by their root, in
+    them by turn, so that an answer follows what it quotes.  ``parent_turn`` is the
+    message that it most likely answers: the quoted one, else the one
+    before in the conversation, else null; it makes no threads.  ``line`` is the turn
+    in chat form; ``<|`` in a role or text becomes ``< |`` there, so that nobody can forge a turn.  Rows stay
+    apart, so a conversation of any size is never gathered in one task.
 
     Null texts have an empty body and null roles become ``user``.  Rows
-    with a null conversation or turn stay, unlinked; repeated rows (one
-    conversation and turn) all stay and share their links.  Extra columns are
-    ignored; no rows give no rows.
+    with a null conversation or turn stay, unlinked (a null turn has a null ``reply_key``); repeated rows (one
+    conversation and turn) all stay and share their links.  Other columns are
+    ignored, whatever their names; no rows give no rows.
     """
-    parsed, parents = link(messages, conv_col, turn_col, text_col)
+    parsed, parents = link(messages, conv_col, turn_col, text_col, role_col)
     placed = cut(reply_order(parents))
     before = latest_before(parsed.filter("conv is not null").select("conv", "turn", F.col("turn").alias("own")), "conv").withColumnRenamed("latest", "previous")
-    base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), parse_udf(F.col(text_col))["body"].alias("text"))
+    base = parsed.select("conv", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.col("body").alias("text"))
     joined = base.join(before, ["conv", "turn"], "left").join(placed, ["conv", "turn"], "left")
     root = F.coalesce("root", "turn")
+
+    def plain(text: Column) -> Column:
+        return F.replace(text, F.lit("<|"), F.lit("< |"))
+
     return joined.select(
         F.col("conv").alias(conv_col),
         F.col("turn").alias(turn_col),
         F.col("role").alias(role_col),
         "text",
+        F.col("parent").alias("quoted_turn"),
         F.coalesce("parent", "previous").alias("parent_turn"),
         root.alias("root_turn"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.concat_ws("/", F.lpad(root.cast("string"), 10, "0"), F.lpad(F.col("turn").cast("string"), 10, "0")).alias("reply_key"),
-        F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text")).alias("line"),
+        F.when(F.col("turn").isNotNull(), F.concat_ws("/", _in_order(root), _in_order(F.col("turn")))).alias("reply_key"),
+        F.concat(F.lit("<|"), plain(F.col("role")), F.lit("|>\n"), plain(F.col("text"))).alias("line"),
     )

@@ -17,19 +17,22 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 FEATURES = 1 << 16
 GRAMS = (3, 4, 5)
-#: Names from which the labelled table is built, each on two hosts with paths of every form.
+#: Parts of names from which the labelled table is built: of hosts that sell, cheat or show what isn't wanted, and of others.
 BAD = (
-    "spam-farm spam-mail link-farm cheap-pills cheap-meds pills-online discount-pills casino-win casino-bonus win-casino online-casino free-bets best-bets bets-live sport-bets "
-    "ads-track ads-server track-ads click-track adult-x adult-cams x-adult adult-chat free-spins slots-win poker-cash payday-loans fake-watches replica-bags win-prizes free-iphone xxx-video sex-cams keygen-crack warez-free hot-singles"
+    "casino poker slots jackpot betting bets gambling roulette pills meds viagra pharmacy drugs loans payday cash replica rolex watches handbags adult porn sex cams escort dating "
+    "warez crack keygen torrent cheats hacks prizes winner giveaway lottery spam clicks tracker popups adserver adult-video hot-singles free-spins cheap-pills free-bets link-farm"
 ).split()
 GOOD = (
-    "library museum gardens history weather kitchen science travel letters poetry archive theatre village railway bakery harbour orchard painter teacher doctor lawyer parish council "
-    "journal gazette courier herald tribune observer chronicle notes recipes birds flowers rivers mountains walking cycling sailing chess music opera ballet school college academy institute "
-    "thomas theresa the-other thinking thanks thunder ration nation station mention hearing reading ending tender wonder thread shore morning evening"
+    "library museum garden history weather kitchen science travel letters poetry archive theatre village railway bakery harbour orchard painter teacher doctor lawyer parish council journal "
+    "gazette courier herald tribune observer chronicle notes recipes birds flowers rivers mountains walking cycling sailing chess music opera ballet school college academy institute "
+    "university hospital church castle market garage builder plumber florist bookshop newspaper radio film photo studio design software python data maps city county forest ocean park "
+    "farm wine coffee family health sports football tennis runner climber astronomy physics chemistry biology geology language grammar dictionary encyclopedia"
 ).split()
-ENDS = ("example.com", "example.net", "example.org")
+SYLLABLES = [c + v for c in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "th", "st", "ch") for v in "aeiou"]
+BEFORE, AFTER = ("", "best", "my", "the", "online", "top", "new", "e", "real"), ("", "hub", "24", "world", "site", "online", "zone", "club", "now")
+ENDS = ("example.com", "example.net", "example.org", "com", "net", "org", "info", "de", "fr", "es", "co.uk")
 PREFIXES = ("", "www.", "blog.", "m.")
-PATHS = ("/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}", "/en/{n}.html", "/fr/{n}/", "/de/{n}", "/es/{n}.html")
+LANGUAGES = ("en", "de", "fr", "es")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,25 +70,34 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small labelled URL table: ``(url, label)``, 1 for block."""
-    rows = []
-    for label, names in ((1, BAD), (0, GOOD)):
-        for i, name in enumerate(names):
-            for j in range(4):
-                k = 4 * i + j
-                path = PATHS[(k + i) % len(PATHS)].format(n=(37 * k) % 1000)
-                rows.append(f"('https://{PREFIXES[j]}{name}.{ENDS[k % 3]}{path}', {label}.0D)")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(url, label)")
+    """The small labelled URL table ``(name, url, label)``, 1 for block, built by rule.
+
+    Each part of a name stands in hosts with and without other words around
+    it, under all endings and forms of paths in turn.  Names of plain syllables stand for
+    the many that are in no list and are good; there are more good names than bad.
+    """
+    plain = ["".join(SYLLABLES[(7 * i + 31 * j + i * j) % len(SYLLABLES)] for j in range(2 + i % 3)) for i in range(120)]
+    rows, k = [], 0
+    for label, names, times in ((1, BAD, 8), (0, GOOD, 6), (0, plain, 6)):
+        for name in names:
+            for _ in range(times):
+                k += 1
+                before, after = BEFORE[k % len(BEFORE)], AFTER[(k // 3) % len(AFTER)]
+                joined = ("-" if k % 2 else "").join(x for x in (before, name, after) if x)
+                n = (37 * k) % 1000
+                path = (f"/{LANGUAGES[k % 4]}/{n}", f"/{LANGUAGES[k % 4]}/{n}.html", f"/{LANGUAGES[k % 4]}/{n}/", "/", f"/{2000 + k % 25}/{1 + k % 12}/{n}")[k % 5]
+                rows.append(f"('{name}', 'https://{PREFIXES[k % 4]}{joined}.{ENDS[k % len(ENDS)]}{path}', {label}.0D)")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(name, url, label)")
 
 
 def _hashed(df: DataFrame, host: Column, path: Column) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="__grams", outputCol="__features").transform(df.withColumn("__grams", grams(host, path)))
 
 
-def train(table: DataFrame) -> LogisticRegressionModel:
+def train(table: DataFrame, reg: float = 0.001) -> LogisticRegressionModel:
     """Fit on a labelled table of ``url`` and ``label`` (small: one partition, so that the sums have one order)."""
     host, path = host_and_path(F.col("url"))
-    return LogisticRegression(featuresCol="__features", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", regParam=0.01, maxIter=40, standardization=False).fit(_hashed(table.coalesce(1), host, path))
+    return LogisticRegression(featuresCol="__features", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", regParam=reg, maxIter=60, standardization=False).fit(_hashed(table.coalesce(1), host, path))
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, model: LogisticRegressionModel | None = None, threshold: float = 0.5) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, and its edge cases."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -228,6 +229,90 @@ def test_short_messages_are_linked(spark):
     assert got[7] == (5, 5, 1) and got[8] == (2, 2, 1) and got[10] == (5, 5, 1)
 
 
+def brute_threads(rows):
+    """Parent by quote, root and depth of each turn, from the definition, message by message."""
+
+    def norm(x):
+        return re.sub(r"[\W_]+", " ", x.lower()).strip()
+
+    def runs(text):
+        out, body = [], []
+        for line in (text or "").split("\n"):
+            m = re.match(r"(?:[ \t]{0,3}>)+ ?", line)
+            level, rest = (m[0].count(">"), line[m.end() :]) if m else (0, line)
+            if level:
+                if out and out[-1][0] == level:
+                    out[-1][1].append(rest)
+                else:
+                    out.append((level, [rest]))
+            else:
+                out.append((0, [line]))
+                body.append(line)
+        return [x for x in out if x[0]], "\n".join(body).strip("\n")
+
+    own, quoted = {}, {}
+    for conv, turn, text in rows:
+        quotes, body = runs(text)
+        own[conv, turn] = {norm(p) for p in (body, *re.split(r"\n\s*\n", body), *body.split("\n"))} - {""}
+        quoted[conv, turn] = [(level, norm(p), 0 if len(norm(p)) >= 12 else 1 if i == 0 else 2) for level, run in quotes for i, p in enumerate((" ".join(run), *run)) if norm(p)]
+    parent = {}
+    for (conv, turn), qs in quoted.items():
+        hits = []
+        for level, p, rank in qs:
+            at = [t for (c, t), o in own.items() if c == conv and t < turn and p in o]
+            first = [t for (c, t), o in own.items() if c == conv and p in o]
+            if rank == 0 and first and min(first) < turn:
+                hits.append((level, rank, -min(first)))
+            elif rank and at:
+                hits.append((level, rank, -max(at)))
+        parent[conv, turn] = -min(hits)[2] if hits else None
+    out = {}
+    for (conv, turn), p in parent.items():
+        at, depth = turn, 0
+        while parent[conv, at] is not None:
+            at, depth = parent[conv, at], depth + 1
+        out[conv, turn] = (p, at, depth)
+    return out
+
+
+def test_threads_against_brute_force(spark):
+    rnd = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("ten", "sor", "vil", "dam")]
+    rows = []
+    for conv in range(12):
+        said, turn = [], rnd.choice([-2, 0, 12345678901])
+        for _ in range(25):
+            lines = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 2, 6, 9]))) for _ in range(rnd.randint(1, 3))]
+            text = "\n".join(lines)
+            if said and rnd.random() < 0.7:
+                quote = rnd.choice(said)
+                part = quote if rnd.random() < 0.5 else [rnd.choice(quote)]
+                deeper = [f">> {x}" for x in rnd.choice(said)] if rnd.random() < 0.3 else []
+                text = "\n".join([*(["On 3 May at 10:20 X wrote:"] if rnd.random() < 0.3 else []), *deeper, *[f"> {x.upper() if rnd.random() < 0.3 else x}!" for x in part], text])
+            said.append(lines)
+            rows.append((conv, turn, text))
+            turn += rnd.choice([1, 1, 2, 700])
+    want = brute_threads([(c, t, "\n".join(x for x in text.split("\n") if not x.startswith("On 3 May"))) for c, t, text in rows])
+    got = chat.format_chats(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.quoted_turn, r.root_turn, r.depth) for r in got} == want
+    assert sum(p is not None for p, _, _ in want.values()) > 100
+    for conv in range(12):
+        order = [(r.root_turn, r.turn) for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.reply_key)]
+        assert order == sorted(order)
+    before = {(c, t): max((u for d, u, _ in rows if d == c and u < t), default=None) for c, t, _ in rows}
+    assert all(r.parent_turn == (r.quoted_turn if r.quoted_turn is not None else before[r.conv_id, r.turn]) for r in got)
+
+
+def test_chat_edges(spark):
+    long = "word " * 100_000
+    rows = [(1, 0, "user", long, "x"), (1, 1, "a<|b", "> " + long + "\nseen <|system|> here", "x"), (1, None, "user", "no turn", "x"), (None, None, None, None, None), (2, 5, "user", "", "x"), (2, 5, "user", "", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parent string").withColumn("depth", F.lit("d")).withColumn("body", F.lit(1))
+    got = chat.format_chats(df).collect()
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert len(got) == 6 and by[1, 1].quoted_turn == 0 and by[1, 1].line == "<|a< |b|>\nseen < |system|> here"
+    assert by[1, None].reply_key is None and by[None, None].line == "<|user|>\n" and by[2, 5].parent_turn is None
+
+
 # --- 4 ---
 
 
@@ -489,6 +574,38 @@ def test_url_model_on_unseen_hosts(spark):
     assert sum((got[u] == "block") == b for u, b in rows) >= 7
 
 
+def test_url_model_on_held_out_hosts(spark):
+    """Fitted on three quarters of the hosts, held against the URLs of the others."""
+    held = F.pmod(F.xxhash64(F.split("url", "/")[2]), F.lit(4)) == 0
+    table = url_filter.labelled(spark)
+    model = url_filter.train(table.filter(~held))
+    rows = url_filter.judge(table.filter(held), rules=(), model=model).collect()
+    block = [r for r in rows if r.verdict == "block"]
+    right = sum(r.label == 1 for r in block)
+    print(len(rows), right / len(block), right / sum(r.label == 1 for r in rows))
+    assert right / len(block) > 0.9 and right / sum(r.label == 1 for r in rows) > 0.75
+
+
+def test_verdicts_by_brute_force(spark, sf_dir):
+    """Each verdict from its rule, else from the model's weights over hashed n-grams."""
+    model = url_filter.train(url_filter.labelled(spark))
+    weights, bias = model.coefficients.toArray(), model.intercept
+    index = functools.cache(url_filter.HashingTF(numFeatures=url_filter.FEATURES, binary=True).indexOf)
+    for r in url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), model=model).collect():
+        found = {f"{tag}:{t[i : i + n]}" for tag, x in (("h", r.host), ("p", r.path)) for t in [f"^{x}$"] for n in url_filter.GRAMS for i in range(len(t) - n + 1)}
+        score = 1 / (1 + math.exp(-bias - sum(weights[i] for i in {index(g) for g in found})))
+        fits = [(len(x), action, x) for action, x in url_filter.RULES for name, _, rest in [x.partition("/")] if (r.host == name or r.host.endswith("." + name)) and r.path.startswith("/" + rest)]
+        assert r.score == pytest.approx(score) and r.rule == (max(fits)[2] if fits else None)
+        assert r.verdict == (max(fits)[1] if fits else "block" if score >= 0.5 else "allow")
+
+
+def test_url_edges(spark, empty):
+    df = spark.createDataFrame([(1, None, "a", 2), (1, None, "a", 2), (2, "http://x.org/" + "y" * 100_000, None, 3)], "page_id long, url string, host string, score int").withColumn("label", F.lit("z"))
+    got = url_filter.judge(df).collect()
+    assert len(got) == 3 and got[0].host == "" and got[0].label == "z" and 0 <= got[0].score <= 1
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
 # --- 7 ---
 
 PATTERNS = dict(email=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ip=r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", card=r"[0-9]([\x20-]?[0-9])+", phone=r"\+[0-9][\x20().0-9-]+[0-9]")
