@@ -97,6 +97,15 @@ def left_right_alliances(df: DataFrame, cols: Columns = COLS, among: int = 50, k
     return first_limit(crossing, [F.desc("similarity"), F.asc("speaker1"), F.asc("speaker2")], k).drop("crosses_divide")
 
 
+def whole(c: str) -> Column:
+    """A value rounded to four places, in ten-thousandths, so that sums don't depend on their order."""
+    return F.round(F.col(c) * 10_000).cast("long")
+
+
+def mean_of_places(c: str) -> Column:
+    return F.round(F.sum(whole(c)) / F.count(c)) / 10_000
+
+
 def conformity(df: DataFrame, cols: Columns = COLS, least: int = 1) -> DataFrame:
     """A speaker's distance to the own party's centroid and to the nearest other one."""
     v = speaker_vectors(df, cols, least, known=False)
@@ -114,7 +123,7 @@ def factions(df: DataFrame, cols: Columns = COLS) -> DataFrame:
     """Per party the mean conformity and the speakers of each kind; one row a speaker stays in arrays of a party's size."""
     c = _known(conformity(df, cols), cols)
     names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("faction") == kind, F.col(cols.speaker)))).alias(kind)
-    return c.groupBy(cols.party).agg(F.count("*").alias("n_speakers"), F.round(F.avg("conformity"), 4).alias("mean_conformity"), names("mainstream"), names("bridge"), names("maverick"))
+    return c.groupBy(cols.party).agg(F.count("*").alias("n_speakers"), mean_of_places("conformity").alias("mean_conformity"), names("mainstream"), names("bridge"), names("maverick"))
 
 
 def fingerprint(df: DataFrame, by: str, centroids: DataFrame | None = None, cols: Columns = COLS) -> DataFrame:
@@ -157,7 +166,7 @@ def drift(df: DataFrame, cols: Columns = COLS, least: int = 5) -> DataFrame:
 
 def drift_totals(df: DataFrame, cols: Columns = COLS, least: int = 5) -> DataFrame:
     """Sum and mean of the rounded steps."""
-    return drift(df, cols, least).groupBy(cols.party).agg(F.round(F.sum("distance"), 4).alias("total_drift"), F.round(F.avg("distance"), 4).alias("avg_drift"), F.count("*").alias("n_steps"))
+    return drift(df, cols, least).groupBy(cols.party).agg((F.sum(whole("distance")) / 10_000).alias("total_drift"), mean_of_places("distance").alias("avg_drift"), F.count("*").alias("n_steps"))
 
 
 def assign_topics(df: DataFrame, topics: DataFrame, cols: Columns = COLS) -> DataFrame:

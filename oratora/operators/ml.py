@@ -17,7 +17,7 @@ def _vectors(df: DataFrame, cols: Columns) -> DataFrame:
     return df.withColumn("__v", array_to_vector(F.col(cols.embedding).cast("array<double>")))
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 3, cols: Columns = COLS) -> DataFrame:
+def kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 10, cols: Columns = COLS) -> DataFrame:
     """``df`` with ``cluster``: the cheapest of several k-means runs."""
     rows = _vectors(df, cols).persist()
     try:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -81,6 +81,11 @@ def projection(df: DataFrame, i: int, j: int, cols: Columns = COLS) -> DataFrame
     return df.select(cols.id, F.get("topic_scores", F.lit(i)).alias("x"), F.get("topic_scores", F.lit(j)).alias("y"))
 
 
+def points_by(df: DataFrame, by: str, cols: Columns = COLS) -> DataFrame:
+    """Points under their topic or party, numbered within it."""
+    return df.select(by, cols.id, "x", "y", F.row_number().over(Window.partitionBy(by).orderBy(cols.id)).alias("place"))
+
+
 def speech_export(df: DataFrame, rebels: DataFrame, cols: Columns = COLS, raw_text: str = "text", length: int = 500) -> DataFrame:
     """The exported fields of each speech; ``rebel_pct`` is 0 for those without one."""
     joined = df.join(rebels.select(cols.speaker, "rebel_pct"), cols.speaker, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators import counts, embeddings, network, temporal, texts, views
+from ..operators import counts, embeddings, network, records, temporal, texts, views
 from .registry import Analyzer, analyzer
 
 
@@ -94,6 +94,9 @@ class Speaker(_Base):
             "vocabulary": {"vocabulary": lambda: texts.vocabulary(i.speeches, c)},
             "network": {"mentions": lambda: network.mention_network(i.speeches, c), "top_mentions": lambda: network.top_mentions(i.speeches, c)},
         })
+        parts = [k for k in ("verbosity", "linguistic", "consistency", "leadership", "interventions", "vocabulary", "mentions") if k in found]
+        if parts:
+            found["speaker_record"] = records.speaker_record({k: found[k].drop(c.party) if k != "mentions" else found[k] for k in parts}, c)
         for name, source, score in (("most_verbose", "verbosity", "avg_words"), ("most_consistent", "consistency", "consistency"), ("most_active", "interventions", "avg_per_month"), ("richest_vocabulary", "vocabulary", "ttr")):
             if source in found:
                 found[name] = views.ranked(found[source].select(c.speaker, score), score, c.speaker, 10)

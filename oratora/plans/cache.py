@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
-import shutil
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def key_of(name: str, **params) -> str:
@@ -24,8 +23,30 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256("\n".join([str(plan), *df.columns, *stamps]).encode()).hexdigest()[:24]
 
 
+class Folder:
+    """A folder on whatever file system Spark reaches: the entries in it, and their removal."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._child = lambda name: jvm.org.apache.hadoop.fs.Path(self.path, name)
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.files.listStatus(self.path)) if self.files.exists(self.path) else []
+
+    def has(self, name: str) -> bool:
+        return self.files.exists(self._child(f"{name}/_SUCCESS"))
+
+    def size(self, name: str) -> int:
+        return self.files.getContentSummary(self._child(name)).getLength()
+
+    def remove(self, name: str) -> None:
+        self.files.delete(self._child(name), True)
+
+
 class ResultCache:
-    """Rows of small results by name and fingerprint."""
+    """Rows of small results by name and fingerprint, in memory and, with a folder that all share, in Parquet."""
 
     def __init__(self, folder: str | None = None):
         self.folder, self.memory, self.hits, self.misses = folder, {}, 0, 0
@@ -33,12 +54,15 @@ class ResultCache:
     def _path(self, key: str) -> str:
         return f"{self.folder}/{key}"
 
+    def _disk(self) -> Folder | None:
+        return Folder(SparkSession.getActiveSession(), self.folder) if self.folder else None
+
     def rows(self, name: str, df: DataFrame) -> list[dict]:
         key = key_of(name, plan=fingerprint(df))
         if key in self.memory:
             self.hits += 1
             return self.memory[key]
-        if self.folder and Path(self._path(key), "_SUCCESS").exists():
+        if self.folder and Folder(df.sparkSession, self.folder).has(key):
             self.hits += 1
             df = df.sparkSession.read.parquet(self._path(key))
         else:
@@ -49,18 +73,31 @@ class ResultCache:
         self.memory[key] = [r.asDict(recursive=True) for r in df.collect()]
         return self.memory[key]
 
+    def _keys(self, pattern: str) -> list[str]:
+        disk = self._disk()
+        return sorted(k for k in {*self.memory, *(disk.names() if disk else [])} if fnmatch.fnmatch(k, pattern))
+
     def has(self, pattern: str) -> bool:
-        return any(fnmatch.fnmatch(k, pattern) for k in self.memory)
+        return bool(self._keys(pattern))
 
     def invalidate(self, pattern: str = "*") -> int:
         """Forget entries by pattern, in memory and on disk; how many there were."""
-        gone = [k for k in self.memory if fnmatch.fnmatch(k, pattern)]
+        gone, disk = self._keys(pattern), self._disk()
         for k in gone:
-            del self.memory[k]
-        stored = [p for p in Path(self.folder).iterdir() if fnmatch.fnmatch(p.name, pattern)] if self.folder and Path(self.folder).exists() else []
-        for p in stored:
-            shutil.rmtree(p)
-        return len(set(gone) | {p.name for p in stored})
+            self.memory.pop(k, None)
+            if disk:
+                disk.remove(k)
+        return len(gone)
+
+    def clear(self) -> int:
+        """Forget everything; how many entries there were."""
+        return self.invalidate()
+
+    def info(self) -> dict:
+        """Entries in memory and on disk, and the bytes that those take."""
+        disk = self._disk()
+        names = disk.names() if disk else []
+        return {"folder": self.folder, "in_memory": len(self.memory), "on_disk": len(names), "bytes": sum(map(disk.size, names)) if disk else 0, "entries": self._keys("*")}
 
     def clear_memory(self) -> None:
         self.memory.clear()

@@ -52,7 +52,11 @@ W = "list_filter(regexp_split_to_array(lower(cleaned_text), '\\s+'), lambda t: t
 
 
 def _in(words) -> str:
-    return ", ".join(f"'{w}'" for w in sorted(words))
+    return ", ".join(quoted(w) for w in sorted(words))
+
+
+def quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
 
 
 def _count(tokens: str, words) -> str:
@@ -61,18 +65,24 @@ def _count(tokens: str, words) -> str:
 
 _SIDE = """CASE WHEN {c} IN ('fr', 'es') THEN 'left' WHEN {c} IN ('en') THEN 'right' WHEN {c} IN ('de') THEN 'center' ELSE 'other' END"""
 T0 = f"t0 AS (SELECT *, {P} AS p, {W} AS w FROM s)"
-F0 = (
+
+
+def feature_counts(lex: LexiconSet) -> str:
+    return (
     "f0 AS (SELECT *, CAST(len(p) AS BIGINT) AS n_tokens, CAST(len(w) AS BIGINT) AS n_words, "
-    + ", ".join(f"{_count('p', v)} AS {k}" for k, v in {"n_pos": LEX.positive, "n_neg": LEX.negative, "n_pronouns": LEX.pronouns, "n_adversatives": LEX.adversatives, **{f"n_{k}": v for k, v in LEX.rhetoric.items()}}.items())
+    + ", ".join(f"{_count('p', v)} AS {k}" for k, v in {"n_pos": lex.positive, "n_neg": lex.negative, "n_pronouns": lex.pronouns, "n_adversatives": lex.adversatives, **{f"n_{k}": v for k, v in lex.rhetoric.items()}}.items())
     + ", "
-    + ", ".join(f"{_count('w', v)} AS {k}" for k, v in {"n_self": LEX.self_reference, "n_negation": LEX.negation, "n_future": LEX.future, "n_past": LEX.past, "n_crisis": LEX.crisis}.items())
+    + ", ".join(f"{_count('w', v)} AS {k}" for k, v in {"n_self": lex.self_reference, "n_negation": lex.negation, "n_future": lex.future, "n_past": lex.past, "n_crisis": lex.crisis}.items())
     + ", "
-    + " + ".join(f"CAST(contains(lower(cleaned_text), '{x}') AS BIGINT)" for x in LEX.us_them)
+    + " + ".join(f"CAST(contains(lower(cleaned_text), {quoted(x)}) AS BIGINT)" for x in lex.us_them)
     + " AS n_patterns, greatest(1, CAST(len(list_filter(regexp_split_to_array(cleaned_text, '[.!?]+'), lambda z: regexp_matches(z, '\\S'))) AS BIGINT)) AS n_sentences, "
     + "CAST(length(cleaned_text) - length(replace(cleaned_text, '?', '')) AS BIGINT) AS n_questions, "
     + "CAST(len(regexp_extract_all(cleaned_text, '(?i)\\d+%|€\\s?\\d+|\\d+\\s?euro|\\d+\\s?(?:milioni|miliardi)|\\d{4}|\\d+[\\.,]\\d+')) AS BIGINT) AS n_numeric, "
     + "CAST(len(regexp_extract_all(cleaned_text, '[\\p{L}\\p{N}_]+')) AS BIGINT) AS g_words, CAST(length(regexp_replace(cleaned_text, '[^\\p{L}]', '', 'g')) AS BIGINT) AS g_letters FROM t0)"
-)
+    )
+
+
+F0 = feature_counts(LEX)
 F1 = """f1 AS (SELECT *, coalesce(CAST(n_pos - n_neg AS DOUBLE) / nullif(n_pos + n_neg, 0), 0.0e0) AS sentiment,
  CASE WHEN g_words = 0 THEN 0.0e0 ELSE greatest(0.0e0, least(100.0e0, 89 + CAST(300 * n_sentences - 10 * g_letters AS DOUBLE) / nullif(g_words, 0))) END AS gulpease_raw,
  greatest(0.0e0, least(100.0e0, CAST(n_pronouns + 2 * n_adversatives + 3 * n_patterns AS DOUBLE) / greatest(n_tokens, 1) * 500)) AS polarization_raw,
@@ -277,7 +287,7 @@ _CONF = _SV + _PC + """, d AS (SELECT sv.deputy, sn."group", pc."group" AS other
  q AS (SELECT deputy, "group", min(CASE WHEN other = "group" THEN d END) AS own, min(CASE WHEN other <> "group" THEN d END) AS away, arg_min(CASE WHEN other <> "group" THEN other END, CASE WHEN other <> "group" THEN d END) AS nearest FROM d GROUP BY ALL),
  cf AS (SELECT deputy, "group", round(1 / (1 + own), 4) AS conformity, round(1 / (1 + away), 4) AS cross_affinity, nearest AS nearest_other, CASE WHEN 1 / (1 + own) > 0.7e0 THEN 'mainstream' WHEN 1 / (1 + away) > 1 / (1 + own) THEN 'bridge' ELSE 'maverick' END AS faction FROM q)"""
 over_vectors("conformity", embeddings.conformity, _CONF + " SELECT * FROM cf")
-over_vectors("factions_by_party", lambda e: embeddings.factions(e).select("group", "n_speakers", "mean_conformity", *[F.array_join(k, ",").alias(k) for k in ("mainstream", "bridge", "maverick")]), _CONF + """ SELECT "group", count(*) AS n_speakers, round(avg(conformity), 4) AS mean_conformity, """ + ", ".join(f"coalesce(string_agg(CASE WHEN faction = '{k}' THEN deputy END, ',' ORDER BY deputy), '') AS {k}" for k in ("mainstream", "bridge", "maverick")) + ' FROM cf GROUP BY "group"')
+over_vectors("factions_by_party", lambda e: embeddings.factions(e).select("group", "n_speakers", "mean_conformity", *[F.array_join(k, ",").alias(k) for k in ("mainstream", "bridge", "maverick")]), _CONF + """ SELECT "group", count(*) AS n_speakers, round(CAST(sum(CAST(round(conformity * 10000) AS BIGINT)) AS DOUBLE) / count(*)) / 10000 AS mean_conformity, """ + ", ".join(f"coalesce(string_agg(CASE WHEN faction = '{k}' THEN deputy END, ',' ORDER BY deputy), '') AS {k}" for k in ("mainstream", "bridge", "maverick")) + ' FROM cf GROUP BY "group"')
 
 
 def _finger_sql(by: str) -> str:
@@ -296,7 +306,7 @@ over_vectors("most_consistent", lambda e: views.ranked(embeddings.consistency(e)
 _DRIFT = """, yc AS (SELECT "group", year(date) AS y, pos, avg(x) AS v, count(*) AS n FROM x GROUP BY ALL HAVING count(*) >= 5), ys AS (SELECT "group", y, lag(y) OVER (PARTITION BY "group" ORDER BY y) AS py FROM (SELECT DISTINCT "group", y FROM yc)),
  dr AS (SELECT ys."group", CAST(py AS INTEGER) AS from_year, CAST(ys.y AS INTEGER) AS to_year, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 4) AS distance FROM ys JOIN yc a ON a."group" = ys."group" AND a.y = ys.y JOIN yc b ON b."group" = ys."group" AND b.y = ys.py AND a.pos = b.pos GROUP BY ALL)"""
 over_vectors("semantic_drift", embeddings.drift, _DRIFT + " SELECT * FROM dr")
-over_vectors("drift_totals", embeddings.drift_totals, _DRIFT + """ SELECT "group", round(sum(distance), 4) AS total_drift, round(avg(distance), 4) AS avg_drift, count(*) AS n_steps FROM dr GROUP BY "group" """)
+over_vectors("drift_totals", embeddings.drift_totals, _DRIFT + """ SELECT "group", CAST(sum(CAST(round(distance * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS total_drift, round(CAST(sum(CAST(round(distance * 10000) AS BIGINT)) AS DOUBLE) / count(*)) / 10000 AS avg_drift, count(*) AS n_steps FROM dr GROUP BY "group" """)
 over_vectors("topic_centroids", lambda e: embeddings.topic_centroids(e, n_topics=12, size=64).select("cluster", "n", F.posexplode("centroid").alias("pos", "c")).select("cluster", "n", "pos", F.round("c", 6).alias("c")), """, i AS (SELECT CAST(r AS INTEGER) AS cluster, CAST(q AS INTEGER) AS pos FROM range(12) t(r), range(64) u(q)), c AS (SELECT cluster, pos - 1 AS pos, avg(x) AS c, count(*) AS n FROM x GROUP BY ALL)
  SELECT i.cluster, coalesce(n, 0) AS n, i.pos, round(coalesce(c, 0), 6) + 0.0e0 AS c FROM i LEFT JOIN c ON c.cluster = i.cluster AND c.pos = i.pos""")
 over_vectors("topic_assignment", lambda e: embeddings.assign_topics(e.drop("cluster"), embeddings.topic_centroids(e).select(F.col("cluster").alias("topic"), F.col("centroid").alias("vector"))).select("speech_id", "cluster", F.round(F.array_max("topic_scores"), 4).alias("score")), _TC + """, sc AS (SELECT speech_id, tc.cluster, coalesce(sum(x * c) / nullif(sqrt(sum(x * x)) * sqrt(sum(c * c)), 0), 0) AS s FROM x JOIN tc USING (pos) GROUP BY ALL)
@@ -341,7 +351,8 @@ over_speeches("top_mentions", lambda s: network.top_mentions(_named(s)), _NAMED
  UNION ALL SELECT dst, src, weight, CAST(row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS INTEGER) AS rank, 'mentioned_by' FROM ed QUALIFY rank <= 5""")
 
 
-@query("paragraphs", r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)) AS h FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS paragraph FROM p WHERE length(trim(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) >= 10""")
+@query("paragraphs", r"""WITH p AS (SELECT page_id, unnest(regexp_split_to_array(html, '(?i)<p(?:\s[^>]*)?>')[2:]) AS h FROM pages), t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '(?is)</p>.*', ''), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS paragraph FROM p)
+ SELECT page_id, paragraph FROM t WHERE length(paragraph) >= 10""")
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return html_sessions.paragraphs(table(spark, d, "pages"), "page_id").select("page_id", "paragraph")
 
@@ -395,3 +406,6 @@ def pca_2d(spark: SparkSession, d: str) -> DataFrame:
     from .operators import ml
 
     return ml.pca_2d(embedded(spark, d)).select("speech_id", "x", "y")
+
+
+from . import list_queries as _  # noqa: E402, F401 - registers the queries over the real lists and whole records

@@ -15,21 +15,47 @@ NAME = r"[A-Z][A-Z\-']+"
 
 
 def strip_tags(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
+    """The text of a fragment: tags go without a blank in their place, runs of blanks become one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), r"\s+", " "))
+
+
+#: Latin letters with their marks, as character references name them; marks in the order of ``MARKS``.
+MARKS = {"grave": "àèìòùÀÈÌÒÙ", "acute": "áéíóúÁÉÍÓÚ", "circ": "âêîôûÂÊÎÔÛ", "uml": "äëïöüÄËÏÖÜ"}
+NAMED = {f"{plain}{mark}": letter for mark, letters in MARKS.items() for plain, letter in zip("aeiouAEIOU", letters)} | {
+    "nbsp": " ", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "ccedil": "ç", "ntilde": "ñ", "euro": "€", "laquo": "«", "raquo": "»", "ldquo": "“", "rdquo": "”",
+    "lsquo": "‘", "rsquo": "’", "ndash": "–", "mdash": "—", "hellip": "…", "deg": "°", "agrave": "à", "middot": "·", "bull": "•", "copy": "©", "amp": "&",
+}
 
 
 def unescape(text: Column) -> Column:
-    """The character references that transcripts use."""
-    out = text
-    for a, b in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&agrave;", "à"), ("&egrave;", "è"), ("&eacute;", "é"), ("&igrave;", "ì"), ("&ograve;", "ò"), ("&ugrave;", "ù"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Character references, numbered in either base and named, decoded in one pass from the left.
+
+    Unknown names stay as they are.
+    """
+    pieces = F.split(text, r"(?=&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});)|(?<=;)")
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        digits = F.when(inner.rlike("^#[0-9]{1,7}$"), F.substring(inner, F.lit(2), F.lit(7)).cast("int")).when(inner.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(inner, F.lit(3), F.lit(6)), 16, 10).cast("int"))
+        # a code point as UTF-32, so that those beyond the first plane are right as well
+        coded = F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")
+        valid = digits.isNotNull() & digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        named = F.try_element_at(names, inner)
+        return F.when(~piece.rlike("^&[^&;]+;$"), piece).when(valid, coded).otherwise(F.coalesce(named, piece))
+
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def paragraphs(pages: DataFrame, *keep: str, html: str = "html", least: int = 10) -> DataFrame:
-    """One row per ``<p>`` with at least so many characters of text: its number and ``paragraph``."""
-    found = pages.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1)).alias("number", "inner"))
-    return found.withColumn("paragraph", strip_tags(F.col("inner"))).drop("inner").filter(F.length("paragraph") >= least)
+    """One row per ``<p>`` with at least so many characters of text: its number and ``paragraph``.
+
+    An unclosed paragraph ends where the next one or the page does.
+    """
+    pieces = F.split(F.col(html), r"(?i)<p(?:\s[^>]*)?>")
+    found = pages.select(*keep, F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("number", "inner"))
+    inner = F.regexp_replace("inner", r"(?is)</p>.*", "")
+    return found.withColumn("paragraph", strip_tags(inner)).drop("inner").filter(F.length("paragraph") >= least)
 
 
 def notes_and_text(text: Column) -> tuple[Column, Column]:
@@ -121,8 +147,12 @@ def session_links(pages: DataFrame, pattern: str, html: str = "html", distinct:
     a = pages.select(F.explode(anchors).alias("a"))
     href = F.regexp_extract("a", r"(?i)href\s*=\s*[\"']([^\"']+)", 1)
     rows = a.select(F.regexp_extract(href, pattern, 1).alias("id"), href.alias("url"), unescape(strip_tags(F.regexp_extract("a", r"(?is)<a\b[^>]*>(.*?)</a>", 1))).alias("title"), unescape(strip_tags(F.col("a"))).alias("context")).filter("id <> ''")
-    out = rows.select("id", "url", "title", F.coalesce(date_in_context(F.col("title")), date_in_context(F.col("context")), F.lit("Unknown")).alias("date"))
-    return out.dropDuplicates(["id"]) if distinct else out
+    out = rows.select("id", "url", "title", "context", F.coalesce(date_in_context(F.col("title")), date_in_context(F.col("context")), F.lit("Unknown")).alias("date"))
+    if not distinct:
+        return out.drop("context")
+    # of links to one session the one with the earliest date holds, a known date before none
+    best = out.groupBy("id").agg(F.min(F.struct((F.col("date") == "Unknown").alias("no_date"), "date", "url", "title", "context")).alias("b"))
+    return best.select("id", "b.url", "b.title", "b.context", "b.date").select("id", "url", "title", "date")
 
 
 def senate_sessions(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,22 @@ def fresh(roster: DataFrame, legislature: int, today=None, days: int = 30) -> Da
     return roster.filter((F.datediff(today, F.to_timestamp("timestamp")) <= days) & (F.col("legislature") == legislature))
 
 
+def save(roster: DataFrame, path: str, legislature: int, now=None) -> None:
+    """Write a roster in the order of its names, with the time and legislature that ``fresh`` reads."""
+    now = F.current_timestamp() if now is None else now
+    stamped = roster.withColumns({"timestamp": F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), "legislature": F.lit(legislature)})
+    stamped.orderBy("full_name").write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str, legislature: int, today=None, days: int = 30) -> DataFrame | None:
+    """A stored roster that is still fresh, else None."""
+    try:
+        found = fresh(spark.read.parquet(path), legislature, today, days)
+    except AnalysisException:
+        return None
+    return None if found.isEmpty() else found
+
+
 def links(pages: DataFrame, member: str, party: str, source: str, html: str = "html") -> DataFrame:
     """Members from a roster page: a link with ``member`` in its address is the name, the next with ``party`` the group."""
     pattern = r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"']*" + member + r"[^\"']*)[\"'][^>]*>(.*?)</a>(?:(?!<a\b[^>]*" + member + r").)*?(?:<a\b[^>]*" + party + r"[^>]*>(.*?)</a>|(?=<a\b[^>]*" + member + r")|$)"
