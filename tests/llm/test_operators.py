@@ -896,6 +896,26 @@ def test_packing(spark, docs, texts):
     assert padding / sum(r.length for r in rows) < 0.03
 
 
+def test_ids_of_a_whole_table(spark):
+    """The pieces' sums against those of the ``tokenizers`` file, over a whole table."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.01"
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r.doc_id: np.array(e.ids + [1], "<u4") for r, e in zip(rows, ref.encode_batch([r.text or "" for r in rows], add_special_tokens=False))}
+    for r in queries.op10_packing(spark, sf).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
+def test_score_edges(spark):
+    rows = [(1, None, "x", 1), (1, None, "x", 1), (None, "a b " * 200_000, "y", 2), (3, "a b", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string, n_words int").withColumn("log_score", F.lit("k"))
+    got = lm.score(df).collect()
+    assert len(got) == 4 and sorted(r.n_words for r in got) == [0, 0, 2, 400_000]
+    assert {r.log_score for r in got if not r.n_words} == {0.0} and {r.mean_log_score for r in got if not r.n_words} == {None}
+
+
 def test_token_bytes_are_those_of_the_whole_text():
     enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     other = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
