@@ -185,6 +185,25 @@ MONTHS = ("gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio"
 # end of fixed values
 
 
+def _function_words() -> frozenset[str]:
+    """Italian function words by rule: articles, prepositions with them, pronouns, conjunctions, and the forms of two auxiliaries."""
+    joined = [stem + ending for stem in ("a", "da", "de", "ne", "su") for ending in ("l", "llo", "lla", "ll", "lle", "i", "gli")]
+    plain = (
+        "il lo la i gli le l un uno una di a da in con su per tra fra e ed o od ma se anche come che chi cui non più meno molto poco tanto quanto quale quali quello quella quelli quelle questo questa questi queste "
+        "io tu lui lei noi voi loro mi ti si ci vi ne me te sé mio mia miei mie tuo tua tuoi tue suo sua suoi sue nostro nostra nostri nostre vostro vostra vostri vostre "
+        "dove quando perché perche mentre dopo prima poi già ancora sempre mai ora qui qua lì là così cosi solo sono tutto tutta tutti tutte altro altra altri altre ogni dunque quindi infatti però oppure né contro senza sotto sopra"
+    ).split()
+    to_be = "essere stato stata stati state sei è siamo siete era ero eri eravamo eravate erano sarà saranno sarebbe sarebbero sia siano fosse fossero fu furono".split()
+    to_have = "avere avuto ho hai ha abbiamo avete hanno aveva avevo avevi avevamo avevate avevano avrà avranno avrebbe avrebbero abbia abbiano avesse avessero ebbe ebbero".split()
+    return frozenset([*joined, *plain, *to_be, *to_have])
+
+
+def read_words(path: str) -> frozenset[str]:
+    """A list of one's own from a text file: words by blanks, commas or lines, lower-cased; lines after # are remarks."""
+    with open(path, encoding="utf-8") as f:
+        return frozenset(w for line in f for w in line.split("#")[0].lower().replace(",", " ").split())
+
+
 @dataclass(frozen=True)
 class LexiconSet:
     """The word lists that the metrics count, all replaceable."""
@@ -200,5 +219,6 @@ class LexiconSet:
     future: frozenset[str] = FUTURE
     past: frozenset[str] = PAST
     rhetoric: dict[str, frozenset[str]] = field(default_factory=lambda: {"populist": POPULIST, "anti_establishment": ANTI_ESTABLISHMENT, "emotional": EMOTIONAL, "institutional": INSTITUTIONAL})
-    stopwords: frozenset[str] = frozenset()
+    #: Function words by default; ``read_words`` takes a longer list of one's own.
+    stopwords: frozenset[str] = field(default_factory=_function_words)
     blacklist: frozenset[str] = KEYWORD_BLACKLIST

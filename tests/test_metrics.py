@@ -196,3 +196,68 @@ def test_conform(spark):
 def test_lexicons_are_parameters(spark):
     s = speeches(spark, [(1, "A", "P", 0, None, "alfa beta")])
     assert prepare.speech_features(s, LexiconSet(positive=frozenset({"alfa"}))).first().n_pos == 1
+
+
+def test_kmeans_keeps_the_cheapest_of_its_starts(spark, sf_dir):
+    import numpy as np
+
+    from oratora.operators import ml
+    from oratora.sources.views import embedded
+
+    rows = embedded(spark, sf_dir).drop("cluster")
+
+    def cost(starts):
+        found = ml.kmeans(rows, 5, starts=starts).select("embedding", "cluster").collect()
+        x, c = np.array([r.embedding for r in found]), np.array([r.cluster for r in found])
+        assert set(c) <= set(range(5)) and len(found) == rows.count()
+        return sum(((x[c == k] - x[c == k].mean(0)) ** 2).sum() for k in set(c))
+
+    assert cost(4) <= cost(1) * (1 + 1e-9)
+
+
+def test_projection_is_centred_and_uncorrelated(spark, sf_dir):
+    import numpy as np
+
+    from oratora.operators import ml
+    from oratora.sources.views import embedded
+
+    found = ml.pca_2d(embedded(spark, sf_dir)).select("embedding", "x", "y").collect()
+    xy, x = np.array([(r.x, r.y) for r in found]), np.array([r.embedding for r in found], float)
+    assert np.allclose(xy.mean(0), 0, atol=1e-6) and abs(np.corrcoef(xy.T)[0, 1]) < 1e-6
+    top = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2]
+    assert np.allclose(xy.var(0, ddof=1), top, rtol=1e-6)
+
+
+def test_stopwords_are_function_words(tmp_path):
+    from oratora.functions import lexicons as L
+
+    assert {"della", "negli", "sono", "che", "avrebbero"} <= L.LexiconSet().stopwords and "governo" not in L.LexiconSet().stopwords
+    (tmp_path / "own.txt").write_text("Parola, altra  # remark\n\nTerza", encoding="utf-8")
+    assert L.read_words(str(tmp_path / "own.txt")) == {"parola", "altra", "terza"}
+
+
+def test_character_references(spark):
+    import html
+
+    from pyspark.sql import functions as F
+
+    from oratora.sources import html_sessions as H
+
+    texts = ["perch&eacute; l&#39;Italia &amp;agrave; &Egrave; &#x20AC; 5", "&#128512; &hellip;", "a & b &unknownname; &amp;", "", "citt&agrave;&nbsp;&laquo;s&igrave;&raquo;", "&lt;p&gt; &#0; x;y"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(H.unescape(F.col("t"))).collect()]
+    assert got[:2] + got[3:5] == [html.unescape(t).replace("\xa0", " ") for t in texts[:2] + texts[3:5]]
+    assert got[2] == "a & b &unknownname; &" and got[5] == "<p> &#0; x;y"
+
+
+def test_roster_is_stored_and_fresh(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from oratora.sources import roster
+
+    df = spark.createDataFrame([("Rossi Anna", "PD", "u", "camera"), ("Bianchi Ugo", "", "v", "senate")], "full_name string, party string, profile_url string, source string")
+    path = str(tmp_path / "roster")
+    assert roster.load(spark, path, 19) is None
+    roster.save(df, path, 19)
+    assert sorted(r.full_name for r in roster.load(spark, path, 19).collect()) == ["Bianchi Ugo", "Rossi Anna"]
+    assert roster.load(spark, path, 18) is None
+    assert roster.load(spark, path, 19, today=F.date_add(F.current_timestamp(), 31)) is None
