@@ -83,7 +83,7 @@ def token_bytes(text: str | None, cache: WordCache) -> bytes:
     if not text:
         return b""
     first, *rest = text.split(" ")
-    if all(rest) and first and not any(w[0].isspace() or w[-1].isspace() for w in rest) and not first[-1].isspace():
+    if all(rest) and first and not first[-1].isspace() and list(map(str.strip, rest)) == rest:
         return np.array(cache.encode(first), dtype="<u4").tobytes() + b"".join(map(cache.__getitem__, rest))
     return np.array(cache.encode(text), dtype="<u4").tobytes()
 
