@@ -22,23 +22,22 @@ def mention_edges(df: DataFrame, cols: Columns = COLS) -> DataFrame:
 
     An equi-join of the texts' words with the surnames, counted by speaker and
     word first.  Speakers who share a surname all get the mention.  A surname with
-    an apostrophe or hyphen is found as the run of its parts.
+    an apostrophe or hyphen is found as the run of its parts: where its first part
+    stands, the words from there on are counted too, and compared whole.
     """
-    names = surnames(df, cols)
-    words = F.split(F.lower(F.coalesce(F.col(cols.text), F.lit(""))), r"[^\p{L}\p{N}_]+")
-    longest = 3
-
-    def runs(n: int):
-        """Runs of n words, joined as surnames' parts are when split alike."""
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-    plain = names.withColumn("key", F.trim(F.regexp_replace("surname", r"[^\p{L}\p{N}_]+", " "))).withColumn("parts", F.size(F.split("key", " ")))
-    edges = None
-    for n in range(1, longest + 1):
-        said = df.select(F.col(cols.speaker).alias("src"), F.explode(runs(n) if n > 1 else words).alias("key")).filter("key != ''").groupBy("src", "key").agg(F.count("*").alias("c"))
-        hit = said.join(plain.filter(F.col("parts") == n).select("key", F.col(cols.speaker).alias("dst")), "key")
-        edges = hit if edges is None else edges.unionByName(hit)
-    return edges.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("c").alias("weight"))
+    plain = surnames(df, cols).select(F.trim(F.regexp_replace("surname", r"[^\p{L}\p{N}_]+", " ")).alias("name"), F.col(cols.speaker).alias("dst")).withColumn("parts", F.split("name", " "))
+    several = plain.filter(F.size("parts") > 1).agg(F.collect_set(F.col("parts")[0]).alias("firsts"), F.max(F.size("parts")).alias("longest"))  # one row, empty if all are single words
+    words = df.select(F.col(cols.speaker).alias("src"), F.split(F.lower(F.coalesce(F.col(cols.text), F.lit(""))), r"[^\p{L}\p{N}_]+").alias("words"))
+    # the words are a column of their own below the join and lambdas take them one by one: else each word costs as much as the text
+    texts = words.crossJoin(F.broadcast(several))
+    run = lambda i: F.array_join(F.transform(F.sequence(i, F.least(i + F.col("longest"), F.size("words")) - 1), lambda j: F.get("words", j)), " ")
+    runs = lambda here: F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(here, w), run(i))), lambda r: F.contains(r, F.lit(" ")))
+    found = F.flatten(F.transform(F.array(F.array_intersect("firsts", "words")), runs))  # an array of one, so that what is here is found once a text
+    keys = texts.select("src", F.when(F.size("firsts") > 0, F.concat("words", found)).otherwise(F.col("words")).alias("keys"))
+    said = keys.select("src", F.explode("keys").alias("key")).filter("key != ''").groupBy("src", "key").agg(F.count("*").alias("c"))
+    named = F.when(F.size("parts") == 1, F.col("key") == F.col("name")).otherwise(F.startswith(F.concat("key", F.lit(" ")), F.concat("name", F.lit(" "))))
+    hit = said.join(plain, (F.substring_index("key", " ", 1) == F.col("parts")[0]) & named)
+    return hit.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.sum("c").alias("weight"))
 
 
 def mention_network(df: DataFrame, cols: Columns = COLS) -> DataFrame:

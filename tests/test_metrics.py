@@ -1,6 +1,7 @@
 """Hand-computed cases: thresholds, ties, names, dates, parsing."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,20 @@ def test_mentions(spark):
     assert got == {("ROSSI Mario [P]", "BIANCHI Anna [Q]"): 2, ("BIANCHI Anna [Q]", "ROSSI Mario [P]"): 1, ("BIANCHI Anna [Q]", "D'ALEMA M"): 1}
 
 
+def test_mentions_of_a_surname_of_many_parts(spark):
+    rows = [(1, "ROSSI M", "P", 0, None, "a-b-c-d, A B C D; a b c. Verdi? A-B-C-D"), (2, "A-B-C-D X", "Q", 0, None, "rossi d'alema rossi-verdi a"), (3, "ROSSI-VERDI Y", "Q", 0, None, ""), (4, "D'ALEMA M", "Q", 0, None, None)]
+    got = {(r.src, r.dst): r.weight for r in network.mention_edges(speeches(spark, rows)).collect()}
+    assert got == {("ROSSI M", "A-B-C-D X"): 3, ("A-B-C-D X", "ROSSI M"): 2, ("A-B-C-D X", "ROSSI-VERDI Y"): 1, ("A-B-C-D X", "D'ALEMA M"): 1}
+
+
+def test_mentions_in_a_long_text_take_time_in_proportion(spark):
+    rows = [(1, "ROSSI M", "P", 0, None, "parola d'alema bianchi " * 5_000), (2, "BIANCHI A", "Q", 0, None, ""), (3, "D'ALEMA M", "Q", 0, None, "")]
+    began = time.time()
+    got = {(r.src, r.dst): r.weight for r in network.mention_edges(speeches(spark, rows)).collect()}
+    assert got == {("ROSSI M", "BIANCHI A"): 5_000, ("ROSSI M", "D'ALEMA M"): 5_000}
+    assert time.time() - began < 30  # several minutes if the text is split again at each word
+
+
 def test_affinity_is_symmetric(spark):
     df = spark.createDataFrame([(i, f"S{i % 4}", f"P{i % 3}", i % 2, "2024-01-01", [float(i), 1.0, float(i % 5)]) for i in range(30)], "speech_id long, deputy string, `group` string, cluster int, date string, embedding array<double>")
     m = {(r.party1, r.party2): r.affinity for r in embeddings.affinity_matrix(df).collect()}
