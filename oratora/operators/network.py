@@ -41,13 +41,13 @@ def mention_edges(df: DataFrame, cols: Columns = COLS) -> DataFrame:
 
 
 def mention_network(df: DataFrame, cols: Columns = COLS) -> DataFrame:
-    """Totals and degrees of every speaker, zeros included."""
-    e = mention_edges(df, cols)
-    out = e.groupBy(F.col("src").alias(cols.speaker)).agg(F.sum("weight").alias("mentions_made"), F.count("*").alias("out_degree"))
-    into = e.groupBy(F.col("dst").alias(cols.speaker)).agg(F.sum("weight").alias("mentions_received"), F.count("*").alias("in_degree"))
-    everyone = df.select(cols.speaker).distinct()
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return everyone.join(out, cols.speaker, "left").join(into, cols.speaker, "left").select(cols.speaker, *[zero(c) for c in ("mentions_made", "out_degree", "mentions_received", "in_degree")])
+    """Totals and degrees of every speaker, zeros included; each edge is dealt to both its ends, so the texts are read once."""
+    no = F.lit(0).cast("long")
+    end = lambda who, made, received: F.struct(F.col(who).alias(cols.speaker), made.alias("made"), received.alias("received"))
+    ends = mention_edges(df, cols).select(F.inline(F.array(end("src", F.col("weight"), no), end("dst", no, F.col("weight")))))
+    sums = {"mentions_made": F.sum("made"), "out_degree": F.count_if(F.col("made") > 0), "mentions_received": F.sum("received"), "in_degree": F.count_if(F.col("received") > 0)}
+    totals = ends.groupBy(cols.speaker).agg(*[v.alias(k) for k, v in sums.items()])
+    return df.select(cols.speaker).distinct().join(totals, cols.speaker, "left").select(cols.speaker, *[F.coalesce(k, F.lit(0)).alias(k) for k in sums])
 
 
 def top_mentions(df: DataFrame, cols: Columns = COLS, k: int = 5) -> DataFrame:

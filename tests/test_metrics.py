@@ -21,6 +21,11 @@ def one(spark, text, expr):
     return spark.createDataFrame([(text,)], "t string").select(expr(F.col("t"))).first()[0]
 
 
+def times_split(df):
+    """How often the plan splits the lower-cased texts."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("split(lower(coalesce(cleaned_text")
+
+
 def speeches(spark, rows):
     return spark.createDataFrame(rows, "speech_id long, deputy string, `group` string, cluster int, date string, cleaned_text string")
 
@@ -130,6 +135,13 @@ def test_mentions_in_a_long_text_take_time_in_proportion(spark):
     assert time.time() - began < 30  # several minutes if the text is split again at each word
 
 
+def test_mention_network_by_hand_reads_the_texts_once(spark):
+    rows = [(1, "ROSSI M", "P", 0, None, "bianchi verdi bianchi"), (2, "BIANCHI A", "Q", 0, None, "rossi"), (3, "VERDI G", "Q", 0, None, "verdi"), (4, "NERI L", "Q", 0, None, None)]
+    df = network.mention_network(speeches(spark, rows))
+    assert {tuple(r) for r in df.collect()} == {("ROSSI M", 3, 2, 1, 1), ("BIANCHI A", 1, 1, 2, 1), ("VERDI G", 0, 0, 1, 1), ("NERI L", 0, 0, 0, 0)}
+    assert times_split(df) == 1
+
+
 def test_affinity_is_symmetric(spark):
     df = spark.createDataFrame([(i, f"S{i % 4}", f"P{i % 3}", i % 2, "2024-01-01", [float(i), 1.0, float(i % 5)]) for i in range(30)], "speech_id long, deputy string, `group` string, cluster int, date string, embedding array<double>")
     m = {(r.party1, r.party2): r.affinity for r in embeddings.affinity_matrix(df).collect()}
