@@ -51,8 +51,8 @@ def mention_network(df: DataFrame, cols: Columns = COLS) -> DataFrame:
 
 
 def top_mentions(df: DataFrame, cols: Columns = COLS, k: int = 5) -> DataFrame:
-    """Whom each speaker names most, and who names the speaker most."""
-    e = mention_edges(df, cols)
-    to = top_by(e.select(F.col("src").alias(cols.speaker), F.col("dst").alias("other"), "weight"), [cols.speaker], [F.desc("weight"), F.asc("other")], k).withColumn("direction", F.lit("mentions"))
-    by = top_by(e.select(F.col("dst").alias(cols.speaker), F.col("src").alias("other"), "weight"), [cols.speaker], [F.desc("weight"), F.asc("other")], k).withColumn("direction", F.lit("mentioned_by"))
-    return to.unionByName(by)
+    """Whom each speaker names most, and who names the speaker most; each edge is dealt to both its ends, so the texts are read once."""
+    end = lambda who, other, direction: F.struct(F.col(who).alias(cols.speaker), F.col(other).alias("other"), F.col("weight"), F.lit(direction).alias("direction"))
+    ends = mention_edges(df, cols).select(F.inline(F.array(end("src", "dst", "mentions"), end("dst", "src", "mentioned_by"))))
+    top = top_by(ends, ["direction", cols.speaker], [F.desc("weight"), F.asc("other")], k)
+    return top.select(cols.speaker, "other", "weight", "rank", "direction")

@@ -142,6 +142,16 @@ def test_mention_network_by_hand_reads_the_texts_once(spark):
     assert times_split(df) == 1
 
 
+def test_top_mentions_by_hand_read_the_texts_once(spark):
+    rows = [(1, "ROSSI M", "P", 0, None, "bianchi verdi bianchi neri"), (2, "BIANCHI A", "Q", 0, None, "verdi"), (3, "VERDI G", "Q", 0, None, ""), (4, "NERI L", "Q", 0, None, None)]
+    df = network.top_mentions(speeches(spark, rows), k=2)
+    assert {tuple(r) for r in df.collect()} == {
+        ("ROSSI M", "BIANCHI A", 2, 1, "mentions"), ("ROSSI M", "NERI L", 1, 2, "mentions"), ("BIANCHI A", "VERDI G", 1, 1, "mentions"),
+        ("BIANCHI A", "ROSSI M", 2, 1, "mentioned_by"), ("VERDI G", "BIANCHI A", 1, 1, "mentioned_by"), ("VERDI G", "ROSSI M", 1, 2, "mentioned_by"), ("NERI L", "ROSSI M", 1, 1, "mentioned_by"),
+    }
+    assert times_split(df) == 1
+
+
 def test_affinity_is_symmetric(spark):
     df = spark.createDataFrame([(i, f"S{i % 4}", f"P{i % 3}", i % 2, "2024-01-01", [float(i), 1.0, float(i % 5)]) for i in range(30)], "speech_id long, deputy string, `group` string, cluster int, date string, embedding array<double>")
     m = {(r.party1, r.party2): r.affinity for r in embeddings.affinity_matrix(df).collect()}
