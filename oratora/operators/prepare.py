@@ -84,7 +84,7 @@ def speech_features(df: DataFrame, lexicons: L.LexiconSet | None = None, cols: C
     for k in reversed(["populist", "anti_establishment", "emotional", "institutional"]):
         style = F.when(F.col(k) == top, k).otherwise(style)
     return out.withColumns({
-        "gulpease": F.round("gulpease_raw", 1),
+        "gulpease": F.round(F.col("gulpease_raw") * 10) / 10,  # round(x, 1) goes by the decimals of x and takes 26.049999999999997, which stands for 26.05, down
         "readability": F.when(F.col("g_words") == 0, "n/a").otherwise(T.ladder(F.col("gulpease_raw"), [(55, "difficile"), (80, "medio")], "facile", above=False)),
         "polarization": F.round("polarization_raw", 1),
         "polarization_level": T.ladder(F.col("polarization_raw"), [(20, "bassa"), (50, "media")], "alta", above=False),

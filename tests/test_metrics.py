@@ -165,6 +165,12 @@ def test_zero_centroid_of_an_empty_topic(spark):
     assert got == {0: [1.0, 0.0], 1: [0.0, 0.0]}
 
 
+def test_gulpease_of_a_tie_is_half_up(spark):
+    rows = [(1, "A", "P", 0, None, "abcdef " * 199 + "x" * 95)]  # 89 + (300 - 12890) / 200 = 26.05, as a double 26.049999999999997
+    r = texts.readability_speech(prepare.speech_features(speeches(spark, rows))).first()
+    assert (r.n_sentences, r.n_words, r.n_letters, r.gulpease) == (1, 200, 1289, 26.1)
+
+
 def test_vocabulary_thresholds(spark):
     rows = [(1, "A", "P", 0, None, " ".join(f"w{i}" for i in range(30))), (2, "A", "P", 0, None, " ".join(f"w{i}" for i in range(30))), (3, "B", "P", 0, None, "pochi")]
     got = texts.vocabulary(speeches(spark, rows)).collect()
